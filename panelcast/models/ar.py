@@ -12,7 +12,7 @@ from panelcast.functions.columns import dot, safe_ln
 from panelcast.models.moments import gram, solve_ridge
 from panelcast.operators.index import attach, core, index_panel, windowed
 from panelcast.operators.metrics import score_columns
-from panelcast.operators.scale import minmax_scale, minmax_stats
+from panelcast.operators.scale import minmax_scale, scale_own_range
 from panelcast.panel import PANEL, Panel
 
 
@@ -35,8 +35,10 @@ class ARSpec:
         return 1 if self.log_difference else self.lag
 
 
-def _own_range(df: DataFrame, panel: Panel) -> DataFrame:
-    return minmax_stats(df, "global_max", panel.keys, panel)
+def _scaled(ix: DataFrame, spec: ARSpec, panel: Panel, ranges: DataFrame | None = None) -> DataFrame:
+    if not spec.log_difference:
+        return ix
+    return scale_own_range(ix, panel) if ranges is None else minmax_scale(ix, ranges, panel)
 
 
 def _differenced(rows: DataFrame, w: WindowSpec, spec: ARSpec, panel: Panel) -> DataFrame:
@@ -76,40 +78,23 @@ def _closed_form(lagged: DataFrame, spec: ARSpec, keys: Sequence[str]) -> DataFr
 
 
 def ar_ridge_fit(df: DataFrame, spec: ARSpec = ARSpec(), panel: Panel = PANEL) -> DataFrame:
-    """``(keys, intercept, weights, low, high, upper)`` per series.
-
-    The last three describe the training range; they matter in log mode with
-    ``scaler='train'`` only.
-    """
+    """``(keys, intercept, weights)`` per series."""
     keys = list(panel.keys)
-    ix = index_panel(df, panel)
-    ranges = _own_range(ix, panel)
-    scaled = minmax_scale(ix, ranges, panel) if spec.log_difference else ix
-    rows, w = windowed(scaled, panel, before=spec.offset + spec.p)
+    rows, w = windowed(_scaled(index_panel(df, panel), spec, panel), panel, before=spec.offset + spec.p)
     lagged = core(_differenced(rows, w, spec, panel)).filter(F.col("pos") > spec.offset + spec.p)
     lagged = lagged.select(*keys, "_v", *_lag_names(spec)).dropna()
     if spec.p <= 2:
-        coef = _closed_form(lagged, spec, keys)
-    else:
-        arrays = lagged.select(*keys, F.array(*_lag_names(spec)).alias("x"), F.array("_v").alias("y"))
-        solved = solve_ridge(gram(arrays, keys), keys, spec.alpha)
-        coef = solved.select(*keys, F.col("coefs")[0]["intercept"].alias("intercept"),
-                             F.col("coefs")[0]["weights"].alias("weights"))
-    return coef.join(ranges, keys)
+        return _closed_form(lagged, spec, keys)
+    arrays = lagged.select(*keys, F.array(*_lag_names(spec)).alias("x"), F.array("_v").alias("y"))
+    solved = solve_ridge(gram(arrays, keys), keys, spec.alpha)
+    return solved.select(*keys, F.col("coefs")[0]["intercept"].alias("intercept"),
+                         F.col("coefs")[0]["weights"].alias("weights"))
 
 
-def _predicted(df: DataFrame, coef: DataFrame, spec: ARSpec, scaler: str, panel: Panel,
+def _predicted(df: DataFrame, coef: DataFrame, spec: ARSpec, ranges: DataFrame | None, panel: Panel,
                reach: int = 0) -> tuple[DataFrame, WindowSpec]:
     """Rows with ``predicted`` and ``actual``, both NULL where a series has too short a past."""
-    if scaler not in ("refit", "train"):
-        raise ValueError(f"unknown scaler {scaler!r}")
-    ix = index_panel(df, panel)
-    weights = coef.select(*panel.keys, "intercept", "weights")
-    if spec.log_difference:
-        ranges = _own_range(ix, panel) if scaler == "refit" else coef.select(*panel.keys, "low", "high", "upper")
-        fitted = minmax_scale(ix, weights.join(ranges, list(panel.keys)), panel)
-    else:
-        fitted = attach(ix, weights, panel)
+    fitted = attach(_scaled(index_panel(df, panel), spec, panel, ranges), coef, panel)
     start = spec.offset + spec.p
     rows, w = windowed(fitted, panel, before=start + spec.q + reach)
     rows = _differenced(rows, w, spec, panel)
@@ -128,22 +113,22 @@ def _predicted(df: DataFrame, coef: DataFrame, spec: ARSpec, scaler: str, panel:
     return rows.drop(*dropped), w
 
 
-def ar_ridge_predict(df: DataFrame, coef: DataFrame, spec: ARSpec = ARSpec(), scaler: str = "refit",
+def ar_ridge_predict(df: DataFrame, coef: DataFrame, spec: ARSpec = ARSpec(), ranges: DataFrame | None = None,
                      panel: Panel = PANEL) -> DataFrame:
     """One-step forecasts ``(keys, ts, pos, n, predicted, actual)``.
 
-    In log mode both are scaled log differences. ``scaler='refit'`` scales with the
-    range of ``df`` itself, ``'train'`` with the range seen by the fit.
+    In log mode both are scaled log differences. The scaler is refitted on ``df``
+    itself unless ``ranges``, the min-max statistics of the training rows, are given.
     """
-    rows, _ = _predicted(df, coef, spec, scaler, panel)
+    rows, _ = _predicted(df, coef, spec, ranges, panel)
     kept = core(rows).filter(F.col("pos") > spec.offset + spec.p + spec.q)
     return kept.select(*panel.keys, panel.time, "pos", "n", "predicted", "actual")
 
 
-def ar_ridge_scores(df: DataFrame, coef: DataFrame, spec: ARSpec = ARSpec(), scaler: str = "refit",
+def ar_ridge_scores(df: DataFrame, coef: DataFrame, spec: ARSpec = ARSpec(), ranges: DataFrame | None = None,
                     horizon: int = 1, panel: Panel = PANEL) -> DataFrame:
     """Forecast and score under one window layout, without a shuffle in between."""
-    rows, w = _predicted(df, coef, spec, scaler, panel, reach=horizon)
+    rows, w = _predicted(df, coef, spec, ranges, panel, reach=horizon)
     return score_columns(rows, w, list(panel.keys), horizon)
 
 
@@ -153,11 +138,8 @@ def recursive_forecast(df: DataFrame, coef: DataFrame, n_steps: int, spec: ARSpe
 
     Each step feeds the previous prediction back as the newest lag.
     """
-    ix = index_panel(df, panel)
-    if spec.log_difference:
-        ix = minmax_scale(ix, _own_range(ix, panel), panel)
-    rows, w = windowed(attach(ix, coef.select(*panel.keys, "intercept", "weights"), panel), panel,
-                       before=spec.offset + spec.p)
+    scaled = _scaled(index_panel(df, panel), spec, panel)
+    rows, w = windowed(attach(scaled, coef, panel), panel, before=spec.offset + spec.p)
     rows = core(_differenced(rows, w, spec, panel)).filter(F.col("pos") >= spec.offset + spec.p)
     state = F.array("_v", *_lag_names(spec)[:spec.p - 1])
     start = F.struct(state.alias("lags"), F.array().cast("array<double>").alias("out"))

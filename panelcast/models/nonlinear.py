@@ -8,7 +8,7 @@ nothing about such a network.
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +16,32 @@ from panelcast.operators.series import lag_dataset, lag_dataset_split
 from panelcast.panel import PANEL, Panel
 
 
-def nonlinear_ar(df: DataFrame, look_back: int, horizon: int = 1, seed: int = 1234, train_fraction: float = 0.6,
-                 max_iter: int = 10, max_depth: int = 4, panel: Panel = PANEL) -> DataFrame:
-    """Predictions ``(keys, ts, pos, n, predicted, actual)`` for the rows after the training share."""
-    data = lag_dataset(df, look_back, horizon, panel)
+def _vectors(df: DataFrame, look_back: int, horizon: int, panel: Panel) -> DataFrame:
     lags = [f"lag_{k}" for k in range(1, look_back + 1)]
-    rows = VectorAssembler(inputCols=lags, outputCol="features", handleInvalid="skip").transform(
-        data.withColumn("split", lag_dataset_split(data, look_back, horizon, train_fraction)).dropna(subset=["target"]))
+    data = lag_dataset(df, look_back, horizon, panel).dropna(subset=["target", *lags])
+    return VectorAssembler(inputCols=lags, outputCol="features").transform(data)
+
+
+def nonlinear_fit(df: DataFrame, look_back: int, horizon: int = 1, seed: int = 1234, train_fraction: float = 0.6,
+                  max_iter: int = 10, max_depth: int = 4, panel: Panel = PANEL) -> GBTRegressionModel:
+    """A model fitted on the first ``train_fraction`` of every series' lag rows."""
+    rows = _vectors(df, look_back, horizon, panel)
+    train = rows.filter(lag_dataset_split(look_back, horizon, train_fraction) == "train")
     booster = GBTRegressor(featuresCol="features", labelCol="target", predictionCol="predicted", seed=seed,
                            subsamplingRate=0.8, maxIter=max_iter, maxDepth=max_depth)
-    model = booster.fit(rows.filter("split = 'train'").select("features", "target"))
-    scored = model.transform(rows.filter("split = 'test'"))
+    return booster.fit(train.select("features", "target"))
+
+
+def nonlinear_predict(df: DataFrame, model: GBTRegressionModel, look_back: int, horizon: int = 1,
+                      panel: Panel = PANEL) -> DataFrame:
+    """``(keys, ts, pos, n, predicted, actual)`` for every lag row."""
+    scored = model.transform(_vectors(df, look_back, horizon, panel))
     return scored.select(*panel.keys, panel.time, "pos", "n", "predicted", F.col("target").alias("actual"))
+
+
+def nonlinear_ar(df: DataFrame, look_back: int, horizon: int = 1, seed: int = 1234, train_fraction: float = 0.6,
+                 max_iter: int = 10, max_depth: int = 4, panel: Panel = PANEL) -> DataFrame:
+    """Fits on the training share of the lag rows and predicts the rest."""
+    model = nonlinear_fit(df, look_back, horizon, seed, train_fraction, max_iter, max_depth, panel)
+    pred = nonlinear_predict(df, model, look_back, horizon, panel)
+    return pred.filter(lag_dataset_split(look_back, horizon, train_fraction) == "test")

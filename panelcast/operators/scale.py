@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import safe_ln, scale_to_one, unscale_from_one
@@ -41,11 +41,28 @@ def minmax_scale(df: DataFrame, stats: DataFrame, panel: Panel = PANEL) -> DataF
     return held.withColumn(panel.value, scaled).drop("low", "high", "upper")
 
 
+def scale_own_range(df: DataFrame, panel: Panel = PANEL) -> DataFrame:
+    """Scales every series to ``[1, its own maximum]``.
+
+    A bounded series already sits in one task for its positions, so its range is taken
+    there in the same pass; otherwise the range is aggregated first and joined.
+    """
+    ix = index_panel(df, panel)
+    if not panel.bounded:
+        return minmax_scale(ix, minmax_stats(ix, by=panel.keys, panel=panel), panel)
+    x, w = F.col(panel.value), Window.partitionBy(*panel.keys)
+    ranged = ix.withColumns({"_low": F.min(x).over(w), "_high": F.max(x).over(w)})
+    scaled = scale_to_one(x, F.col("_low"), F.col("_high"), F.col("_high"))
+    return ranged.withColumn(panel.value, scaled).drop("_low", "_high")
+
+
 def scale_log_difference(df: DataFrame, upper: str = "global_max", by: Sequence[str] | None = None,
                          panel: Panel = PANEL) -> DataFrame:
     """Min-max scale to ``[1, upper]``, then the log difference."""
     ix = index_panel(df, panel)
-    return log_difference(minmax_scale(ix, minmax_stats(df, upper, by, panel), panel), panel)
+    if upper == "global_max" and by is not None and tuple(by) == tuple(panel.keys):
+        return log_difference(scale_own_range(ix, panel), panel)
+    return log_difference(minmax_scale(ix, minmax_stats(ix, upper, by, panel), panel), panel)
 
 
 def inverse_log_scale(df: DataFrame, pred: DataFrame, stats: DataFrame, panel: Panel = PANEL,

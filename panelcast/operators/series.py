@@ -67,7 +67,7 @@ def lag_dataset(df: DataFrame, look_back: int, horizon: int = 1, panel: Panel =
     return core(out.filter((F.col("pos") >= look_back + 2) & (F.col("pos") + horizon - 1 <= F.col("n"))))
 
 
-def lag_dataset_split(df: DataFrame, look_back: int, horizon: int = 1, fraction: float = 0.6) -> Column:
+def lag_dataset_split(look_back: int, horizon: int = 1, fraction: float = 0.6) -> Column:
     """``train`` / ``test`` for the rows of a lag dataset: the first ``fraction`` of them train."""
     row = F.col("pos") - (look_back + 1)
     rows = F.col("n") - (look_back + 1) - (horizon - 1)
@@ -162,15 +162,15 @@ def calendar_features(df: DataFrame, time: str = "ts") -> DataFrame:
 def autocorrelation(df: DataFrame, max_lag: int = 24, panel: Panel = PANEL) -> DataFrame:
     """``(keys, lag, r)`` for lags ``1..max_lag-1``: Pearson r of the overlapping pairs.
 
-    All lags are aggregated in one pass over one windowed scan.
+    One windowed scan yields all lags; each task reduces its pairs to one partial
+    correlation per series and lag before anything is shuffled.
     """
     lags = range(1, max_lag)
     rows, w = windowed(df, panel, before=max_lag - 1)
     x = F.col(panel.value)
-    lagged = core(rows.select("*", *[F.lag(x, k).over(w).alias(f"_l{k}") for k in lags]))
-    wide = lagged.groupBy(*panel.keys).agg(*[F.corr(panel.value, f"_l{k}").alias(f"_r{k}") for k in lags])
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_r{k}").alias("r")) for k in lags]))
-    return wide.select(*panel.keys, pairs.alias("p")).select(*panel.keys, "p.lag", "p.r")
+    lagged = core(rows.select("*", F.array(*[F.lag(x, k).over(w) for k in lags]).alias("_lags")))
+    pairs = lagged.select(*panel.keys, panel.value, F.posexplode("_lags").alias("_k", "_past"))
+    return pairs.groupBy(*panel.keys, (F.col("_k") + 1).alias("lag")).agg(F.corr(panel.value, "_past").alias("r"))
 
 
 def companded_histogram(df: DataFrame, channels: int = 256, panel: Panel = PANEL) -> DataFrame:

@@ -1,17 +1,64 @@
-"""Train and test data of whole neighbourhoods."""
+"""Price queries, and train and test data of panels and whole neighbourhoods."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.models.var import to_matrix
 from panelcast.operators.graph import neighbor_panel, neighbors
-from panelcast.operators.reshape import between_exclusive
-from panelcast.operators.series import chrono_split
+from panelcast.operators.index import attach
+from panelcast.operators.reshape import between_exclusive, complete_hours, fill_null, select_nodes
+from panelcast.operators.series import calendar_features, chrono_split, log_difference, train_stop
 from panelcast.panel import MATRIX, PANEL, Panel
 
 
+CALENDAR = ("hour", "month", "weekday")
+
+
+def query_prices(df: DataFrame, nodes: str | Sequence[str], start: str, end: str, shards: DataFrame | None = None,
+                 panel: Panel = PANEL) -> DataFrame:
+    """Named series strictly between two dates, NULL prices as zero.
+
+    With ``shards`` only hours for which every shard has a row are kept, as an inner
+    join of all shard tables would.
+    """
+    ranged = between_exclusive(df, start, end, on=panel.time)
+    if shards is not None:
+        ranged = complete_hours(ranged, shards, panel.keys[0], panel.time)
+    return fill_null(select_nodes(ranged, nodes, panel.keys[0]), 0.0, panel.value)
+
+
+def train_test_panel(df: DataFrame, fraction: float = 0.8, normalize: bool = False, include_calendar: bool = False,
+                     log_differences: bool = False, panel: Panel = PANEL) -> DataFrame:
+    """``(keys, ts, value, [calendar,] split)`` with ``pos`` and ``n`` counted inside each split.
+
+    ``normalize`` standardises with the training rows' mean and population sd, the
+    calendar columns too. Log differences are taken of the value alone, on each side
+    of the split by itself, and are NULL where a value is not positive.
+    """
+    rows = chrono_split(df, fraction, panel)
+    columns = [panel.value]
+    if include_calendar:
+        rows = calendar_features(rows, panel.time).drop("day_name")
+        columns += CALENDAR
+    if normalize:
+        train = rows.filter("split = 'train'").groupBy(*panel.keys)
+        stats = train.agg(*[f(c).alias(f"_{name}_{c}") for c in columns
+                            for name, f in (("m", F.avg), ("s", F.stddev_pop))])
+        rows = attach(rows, stats, panel)
+        rows = rows.withColumns({
+            c: (F.col(c) - F.col(f"_m_{c}")) / F.coalesce(F.nullif(f"_s_{c}", F.lit(0.0)), F.lit(1.0)) for c in columns
+        }).drop(*[f"_{m}_{c}" for c in columns for m in "ms"])
+    stop = train_stop(fraction)
+    first = F.col("split") == "train"
+    rows = rows.withColumns({"pos": F.when(first, F.col("pos")).otherwise(F.col("pos") - stop),
+                             "n": F.when(first, stop).otherwise(F.col("n") - stop)})
+    return log_difference(rows, panel.with_keys(*panel.keys, "split")) if log_differences else rows
+
+
 def neighborhood_matrix(df: DataFrame, edges: DataFrame, catalog: DataFrame, centers: DataFrame,
                         start: str | None = None, end: str | None = None, fill: float | None = None,
                         panel: Panel = PANEL) -> DataFrame:

@@ -9,20 +9,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.models.ar import ARSpec, ar_ridge_fit, ar_ridge_scores
-from panelcast.models.nonlinear import nonlinear_ar
+from panelcast.models.nonlinear import nonlinear_fit, nonlinear_predict
 from panelcast.models.var import VARSpec, var_ridge_fit, var_ridge_predict
 from panelcast.operators.index import index_panel
 from panelcast.operators.metrics import forecast_metrics
+from panelcast.operators.scale import minmax_stats
 from panelcast.operators.series import take_split
 from panelcast.panel import MATRIX, PANEL, Panel
 
 
 def evaluate_ar(df: DataFrame, spec: ARSpec = ARSpec(), fraction: float = 0.8, scaler: str = "refit",
                 panel: Panel = PANEL) -> DataFrame:
-    """Scores per series: fit on the first ``fraction`` of its rows, forecast the rest."""
+    """Scores per series: fit on the first ``fraction`` of its rows, forecast the rest.
+
+    ``scaler='refit'`` scales the test rows by their own range, ``'train'`` by the
+    range of the training rows.
+    """
     ix = index_panel(df, panel)
-    coef = ar_ridge_fit(take_split(ix, "train", fraction, panel), spec, panel)
-    return ar_ridge_scores(take_split(ix, "test", fraction, panel), coef, spec, scaler, panel=panel)
+    train = take_split(ix, "train", fraction, panel)
+    if scaler not in ("refit", "train"):
+        raise ValueError(f"unknown scaler {scaler!r}")
+    ranges = minmax_stats(train, by=panel.keys, panel=panel) if scaler == "train" else None
+    return ar_ridge_scores(take_split(ix, "test", fraction, panel), ar_ridge_fit(train, spec, panel), spec, ranges,
+                           panel=panel)
 
 
 def evaluate_var(matrix: DataFrame, spec: VARSpec = VARSpec(), fraction: float = 0.8,
@@ -49,13 +58,23 @@ def evaluate_grid(df: DataFrame, models: Mapping[str, ARSpec], fraction: float =
     return reduce(DataFrame.unionByName, parts)
 
 
-def evaluate_seeds(df: DataFrame, look_back: int, seeds: Sequence[int], horizon: int = 1,
+def evaluate_var_grid(matrix: DataFrame, models: Mapping[str, VARSpec], fraction: float = 0.8,
+                      panel: Panel = MATRIX) -> DataFrame:
+    """Pooled scores ``(center, type, ...)`` of every neighbourhood under every named setting."""
+    ix = index_panel(matrix, panel)
+    parts = [evaluate_var(ix, spec, fraction, panel).withColumn("type", F.lit(name)) for name, spec in models.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evaluate_seeds(df: DataFrame, look_back: int, seeds: Sequence[int], horizon: int = 1, fraction: float = 0.8,
                    panel: Panel = PANEL) -> DataFrame:
     """Scores ``(keys, type, run, ...)`` of the boosted-tree model, one distributed fit per seed."""
     ix = index_panel(df, panel)
-    parts = [
-        forecast_metrics(nonlinear_ar(ix, look_back, horizon, seed, panel=panel), panel.keys, horizon, panel)
-        .withColumn("type", F.lit("boosted")).withColumn("run", F.lit(seed))
-        for seed in seeds
-    ]
+    train, test = (take_split(ix, part, fraction, panel) for part in ("train", "test"))
+    parts = []
+    for seed in seeds:
+        model = nonlinear_fit(train, look_back, horizon, seed, panel=panel)
+        pred = nonlinear_predict(test, model, look_back, horizon, panel)
+        scored = forecast_metrics(pred, panel.keys, horizon, panel)
+        parts.append(scored.withColumn("type", F.lit("boosted")).withColumn("run", F.lit(seed)))
     return reduce(DataFrame.unionByName, parts)

@@ -15,10 +15,12 @@ from panelcast.models.var import VARSpec, to_matrix, var_ridge_fit, var_ridge_pr
 from panelcast.operators import metrics as M
 from panelcast.operators import scale as SC
 from panelcast.operators import series as S
-from panelcast.operators.graph import neighbor_panel, neighbors
+from panelcast.operators.graph import neighbor_panel
 from panelcast.operators.index import index_panel
 from panelcast.operators.reshape import select_nodes
-from panelcast.plans.evaluation import evaluate_ar, evaluate_grid, evaluate_seeds, evaluate_var
+from panelcast.plans.datasets import neighborhood_matrix
+from panelcast.plans.evaluation import evaluate_ar, evaluate_grid, evaluate_seeds, evaluate_var, evaluate_var_grid
+from panelcast.session import ensure_checkpoint_dir
 from panelcast.sources.writers import write_report
 from suite.registry import query
 from suite.series_queries import metrics_sql, scores
@@ -286,10 +288,13 @@ def var_scores_events(spark, sf_dir):
 @query("var_scores_neighborhoods")
 def var_scores_neighborhoods(spark, sf_dir):
     catalog = label_catalog(spark, sf_dir)
-    family = neighbors(edges(spark, sf_dir), catalog, catalog.withColumnRenamed("node", "center"))
-    matrix = to_matrix(neighbor_panel(label_monthly(spark, sf_dir), family), family, fill=0.0)
+    matrix = neighborhood_matrix(label_monthly(spark, sf_dir), edges(spark, sf_dir), catalog,
+                                 catalog.withColumnRenamed("node", "center"), fill=0.0)
+    # the matrix is read four times below, so it is stored once
+    ensure_checkpoint_dir(spark)
     panel = MONTHLY.with_keys("center").with_value("values")
-    return scores(evaluate_var(matrix, VARSpec(look_back=2), panel=panel), "center")
+    settings = {"all": VARSpec(look_back=2), "center": VARSpec(look_back=2, outputs="center")}
+    return scores(evaluate_var_grid(matrix.checkpoint(), settings, panel=panel), "center", "type")
 
 
 # --- windows scored by a model, boosted trees --------------------------------------------

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from panelcast.models.var import to_matrix
 from panelcast.operators import graph as G
 from panelcast.operators import reshape as R
-from panelcast.plans.datasets import neighborhood_matrix, train_test_rows
+from panelcast.plans.datasets import neighborhood_matrix, query_prices, train_test_rows
 from panelcast.sources.writers import materialize_splits
 from suite.registry import query
 from suite.tables import (EDGES, EV, EVENT_TYPES, LAB, LABELS, LI, MONTHLY, ORD, edges, events_hourly, label_catalog,
-                          label_monthly, priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily)
+                          label_monthly, priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily, supplier_names)
 
 _SHARDS = """SELECT node, (row_number() OVER (ORDER BY node) - 1) // {size} AS shard
   FROM (SELECT DISTINCT series_id AS node FROM ({panel}))"""
@@ -19,8 +19,8 @@ _LI_SHARDS = _SHARDS.format(size=25, panel=LI)
 _EV_SHARDS = _SHARDS.format(size=2, panel=EV)
 
 
-def _shards(panel, size):
-    return R.assign_shards(R.node_catalog(panel), size)
+def _supplier_shards(spark, sf_dir):
+    return R.assign_shards(supplier_names(spark, sf_dir), 25)
 
 
 @query("shard_filter", f"""
@@ -28,7 +28,7 @@ def _shards(panel, size):
   WHERE series_id IN (SELECT node FROM ({_LI_SHARDS}) WHERE shard = 1)""")
 def shard_filter(spark, sf_dir):
     panel = supplier_daily(spark, sf_dir)
-    kept = R.filter_shard(panel, _shards(panel, 25), 1)
+    kept = R.filter_shard(panel, _supplier_shards(spark, sf_dir), 1)
     return kept.select("series_id", stamp("ts").alias("ts"), r("value", 4).alias("value"))
 
 
@@ -61,16 +61,29 @@ def _complete_hours_sql(panel, shards, digits):
 @query("complete_hours_events", _complete_hours_sql(EV, _EV_SHARDS, 6))
 def complete_hours_events(spark, sf_dir):
     panel = events_hourly(spark, sf_dir)
-    return R.complete_hours(panel, _shards(panel, 2)).select("series_id", stamp("ts").alias("ts"), r("value").alias("value"))
+    return R.complete_hours(panel, R.assign_shards(R.node_catalog(panel), 2)).select("series_id", stamp("ts").alias("ts"), r("value").alias("value"))
 
 
 @query("complete_hours_suppliers", _complete_hours_sql(LI, _LI_SHARDS, 4))
 def complete_hours_suppliers(spark, sf_dir):
     panel = supplier_daily(spark, sf_dir)
-    return R.complete_hours(panel, _shards(panel, 25)).select(
+    return R.complete_hours(panel, _supplier_shards(spark, sf_dir)).select(
         "series_id", stamp("ts").alias("ts"), r("value", 4).alias("value"))
 
 
+@query("query_prices", f"""WITH p AS ({EV}), s AS ({_EV_SHARDS}),
+  ranged AS (SELECT * FROM p WHERE ts > TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25'),
+  full_ts AS (SELECT ts FROM ranged JOIN s ON series_id = node GROUP BY ts
+    HAVING count(DISTINCT shard) = (SELECT count(DISTINCT shard) FROM s))
+  SELECT series_id, {sql_stamp()} AS ts, {sql_r('coalesce(value, 0.0)')} AS value FROM ranged
+  WHERE ts IN (SELECT ts FROM full_ts) AND series_id IN ('click', 'view')""")
+def query_prices_between(spark, sf_dir):
+    panel = events_hourly(spark, sf_dir)
+    shards = R.assign_shards(R.node_catalog(panel), 2)
+    rows = query_prices(panel, ["click", "view"], "2024-1-3", "2024-1-25", shards)
+    return rows.select("series_id", stamp("ts").alias("ts"), r("value").alias("value"))
+
+
 @query("complete_panel", f"""
   WITH p AS ({LI}), s AS ({_LI_SHARDS}),
   hours AS (SELECT DISTINCT ts, shard FROM p JOIN s ON series_id = node)
@@ -78,7 +91,7 @@ def complete_hours_suppliers(spark, sf_dir):
   FROM hours JOIN s ON hours.shard = s.shard LEFT JOIN p ON p.ts = hours.ts AND p.series_id = node""")
 def complete_panel(spark, sf_dir):
     panel = supplier_daily(spark, sf_dir)
-    full = R.complete_panel(panel, _shards(panel, 25))
+    full = R.complete_panel(panel, _supplier_shards(spark, sf_dir))
     return full.select("series_id", stamp("ts").alias("ts"), r("value", 4).alias("value"))
 
 
@@ -93,7 +106,7 @@ def node_counts(spark, sf_dir):
   FROM ({LI}) JOIN ({_LI_SHARDS}) ON series_id = node GROUP BY ts, shard""")
 def collect_hour(spark, sf_dir):
     panel = supplier_daily(spark, sf_dir)
-    cells = R.collect_hour(panel, shards=_shards(panel, 25))
+    cells = R.collect_hour(panel, shards=_supplier_shards(spark, sf_dir))
     prices = R.cell_prices(F.col("cells"))
     return cells.select(stamp("ts").alias("ts"), F.col("shard").cast("bigint").alias("shard"),
                         F.size("cells").cast("bigint").alias("n"), F.array_join(F.col("cells.node"), ",").alias("nodes"),

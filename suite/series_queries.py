@@ -8,6 +8,7 @@ from panelcast.operators import metrics as M
 from panelcast.operators import scale as SC
 from panelcast.operators import series as S
 from panelcast.operators.index import index_panel
+from panelcast.plans.datasets import train_test_panel
 from suite.registry import query
 from suite.tables import (DAILY, EV, HOURLY, LI, ORD, RAW, RAW_EV, events_hourly, events_raw, priority_daily, r,
                           sql_ix, sql_r, sql_scaled, sql_stamp, stamp, supplier_daily)
@@ -59,6 +60,32 @@ def three_way_split(spark, sf_dir):
     return split.groupBy("series_id", "split").agg(F.count(F.lit(1)).alias("n"), F.min(stamp("ts")).alias("first_ts"))
 
 
+@query("train_test_normalized", f"""
+  SELECT series_id, split, {sql_stamp()} AS ts, {sql_r('(value - mean) / sd')} AS value, {sql_r('(h - mh) / sh')} AS hour,
+    {sql_r('coalesce((m - mm) / nullif(sm, 0), m - mm)')} AS month, {sql_r('(d - md) / sd2')} AS weekday FROM (
+    SELECT *, avg(value) FILTER (WHERE split = 'train') OVER s AS mean, stddev_pop(value) FILTER (WHERE split = 'train') OVER s AS sd,
+      avg(h) FILTER (WHERE split = 'train') OVER s AS mh, stddev_pop(h) FILTER (WHERE split = 'train') OVER s AS sh,
+      avg(m) FILTER (WHERE split = 'train') OVER s AS mm, stddev_pop(m) FILTER (WHERE split = 'train') OVER s AS sm,
+      avg(d) FILTER (WHERE split = 'train') OVER s AS md, stddev_pop(d) FILTER (WHERE split = 'train') OVER s AS sd2
+    FROM (SELECT *, hour(ts) AS h, month(ts) AS m, isodow(ts) - 1 AS d,
+      CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'test' END AS split FROM ({sql_ix(EV)}))
+    WINDOW s AS (PARTITION BY series_id))""")
+def train_test_normalized(spark, sf_dir):
+    rows = train_test_panel(events_hourly(spark, sf_dir), normalize=True, include_calendar=True, panel=HOURLY)
+    return rows.select("series_id", "split", stamp("ts").alias("ts"), *[r(c).alias(c) for c in ("value", "hour", "month", "weekday")])
+
+
+@query("train_test_log_differences", f"""
+  SELECT series_id, split, {sql_stamp()} AS ts, pos - 1 AS pos, {sql_r('v')} AS value FROM (
+    SELECT *, ln(value) - lag(ln(value)) OVER (PARTITION BY series_id, split ORDER BY ts) AS v,
+      row_number() OVER (PARTITION BY series_id, split ORDER BY ts) AS pos
+    FROM (SELECT * EXCLUDE (pos), CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'test' END AS split
+      FROM ({sql_ix(ORD)}))) WHERE pos > 1""")
+def train_test_log_differences(spark, sf_dir):
+    rows = train_test_panel(priority_daily(spark, sf_dir), log_differences=True, panel=DAILY)
+    return rows.select("series_id", "split", stamp("ts").alias("ts"), F.col("pos").cast("bigint").alias("pos"), r("value").alias("value"))
+
+
 # --- differences -------------------------------------------------------------------------
 
 def _difference_sql(panel, lag, digits):
@@ -172,7 +199,7 @@ def lag_features(spark, sf_dir):
     FROM ({sql_ix(LI)})) WHERE pos >= 4 AND target IS NOT NULL""")
 def lag_dataset(spark, sf_dir):
     data = S.lag_dataset(supplier_daily(spark, sf_dir), 2, 3, DAILY)
-    data = data.withColumn("split", S.lag_dataset_split(data, 2, 3, 0.6))
+    data = data.withColumn("split", S.lag_dataset_split(2, 3, 0.6))
     return _out(data, *[r(c, 4).alias(c) for c in ("lag_1", "lag_2", "target")], "split")
 
 

@@ -11,7 +11,7 @@ from panelcast.operators import reshape as R
 from panelcast.sources import readers, writers
 from suite.registry import query
 from suite.tables import (EV, EVENT_TYPES, LABELS, LI, LOAD, ORD, events_hourly, load_hours, part_labels,
-                          priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily, table)
+                          priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily, supplier_names, table)
 
 _NAMES = ", ".join(f"'{n}'" for n in EVENT_TYPES)
 
@@ -115,7 +115,7 @@ def wide_csv_lines(spark, sf_dir):
     SELECT node, (row_number() OVER (ORDER BY node) - 1) // 25 AS shard
     FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS node FROM lineitem)) GROUP BY shard""")
 def shard_lists(spark, sf_dir):
-    shards = R.assign_shards(R.node_catalog(supplier_daily(spark, sf_dir)), 25)
+    shards = R.assign_shards(supplier_names(spark, sf_dir), 25)
     return R.shard_map(shards).select(F.col("shard").cast("bigint").alias("shard"),
                                       F.size("nodes").cast("bigint").alias("n"), F.array_join("nodes", ",").alias("nodes"))
 

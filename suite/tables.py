@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.operators.reshape import node_catalog
 from panelcast.panel import PANEL, Panel
 from panelcast.session import ensure_checkpoint_dir
 
@@ -60,8 +61,13 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily series per supplier: many nodes, gaps."""
     li = table(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("ts"))
-            .agg(F.avg("l_extendedprice").alias("value")))
+    return (li.groupBy("l_suppkey", F.col("l_shipdate").alias("ts")).agg(F.avg("l_extendedprice").alias("value"))
+            .select(F.col("l_suppkey").cast("string").alias("series_id"), "ts", "value"))
+
+
+def supplier_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node catalog of the supplier series, from the key column alone."""
+    return node_catalog(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("series_id")))
 
 
 def priority_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
