@@ -22,6 +22,11 @@ def sources_and_sinks(edges: DataFrame) -> DataFrame:
             .filter("is_source and is_sink").select("node"))
 
 
+def _parts(catalog: DataFrame) -> DataFrame:
+    """``(node, prefix)`` for every distinct substring of every name."""
+    return catalog.select("node", F.explode(substrings(F.col("node"))).alias("prefix"))
+
+
 def expand_by_prefix(catalog: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``(prefix, node)`` for every catalog name that contains the prefix anywhere.
 
@@ -29,8 +34,7 @@ def expand_by_prefix(catalog: DataFrame, prefixes: DataFrame) -> DataFrame:
     equality, which hashes instead of testing every pair. Empty prefixes match nothing.
     """
     wanted = prefixes.select("prefix").filter(F.col("prefix") != "").distinct()
-    parts = catalog.select("node", F.explode(substrings(F.col("node"))).alias("prefix"))
-    return parts.join(wanted, "prefix").select("prefix", "node")
+    return _parts(catalog).join(wanted, "prefix").select("prefix", "node")
 
 
 def neighbors(edges: DataFrame, catalog: DataFrame, centers: DataFrame, on_unknown: str = "error") -> DataFrame:
@@ -49,9 +53,9 @@ def neighbors(edges: DataFrame, catalog: DataFrame, centers: DataFrame, on_unkno
         known = asked.join(listed, "center", "left").select(
             F.when(F.col("_known"), F.col("center")).otherwise(F.raise_error(message).cast("string")).alias("center"))
     shared = sources_and_sinks(edges).withColumnRenamed("node", "center")
-    active = known.join(shared, "center").withColumn("prefix", name_prefix(F.col("center")))
-    family = active.join(expand_by_prefix(catalog, active.select("prefix")), "prefix")
-    others = family.filter(F.col("node") != F.col("center")).select("center", "node", F.lit(False).alias("is_center"))
+    active = known.join(shared, "center").withColumn("prefix", name_prefix(F.col("center"))).filter("prefix <> ''")
+    family = _parts(catalog).join(active, "prefix").filter(F.col("node") != F.col("center"))
+    others = family.select("center", "node", F.lit(False).alias("is_center"))
     alone = known.select("center", F.col("center").alias("node"), F.lit(True).alias("is_center"))
     return alone.unionByName(others)
 

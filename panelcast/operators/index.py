@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.panel import PANEL, Panel
-from panelcast.session import ensure_checkpoint_dir
+from panelcast.session import stored
 
 # candidate bucket widths, widest first: 1 year, 30 days, 1 day, 1 hour, 1 minute, 1 second
 BUCKET_SECONDS = (31_536_000, 2_592_000, 86_400, 3_600, 60, 1)
@@ -140,8 +140,7 @@ def global_position(df: DataFrame, order: list[str]) -> DataFrame:
     partitions before it shift them. The sorted rows are checkpointed because two
     evaluations of a range partitioning may cut it at different places.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    placed = stored(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     local = F.col("_id").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))

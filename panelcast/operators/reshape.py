@@ -138,7 +138,8 @@ def complete_panel(df: DataFrame, shards: DataFrame, series: str = "series_id",
     """Adds NULL cells so that every hour a shard has any row for lists all nodes of the shard.
 
     The grid is made from ``(hour, shard)`` pairs and the shard's own name list, which
-    the shard size bounds, so no product of all hours and all names is joined.
+    the shard size bounds, so no product of all hours and all names is joined; grid and
+    panel then meet on the unique ``(node, hour)``, a key that cannot be skewed.
     """
     member = shards.withColumnRenamed("node", series)
     tagged = df.join(member, series)

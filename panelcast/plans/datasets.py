@@ -13,6 +13,7 @@ from panelcast.operators.index import attach
 from panelcast.operators.reshape import between_exclusive, complete_hours, fill_null, select_nodes
 from panelcast.operators.series import calendar_features, chrono_split, log_difference, train_stop
 from panelcast.panel import MATRIX, PANEL, Panel
+from panelcast.session import stored
 
 
 CALENDAR = ("hour", "month", "weekday")
@@ -62,10 +63,14 @@ def train_test_panel(df: DataFrame, fraction: float = 0.8, normalize: bool = Fal
 def neighborhood_matrix(df: DataFrame, edges: DataFrame, catalog: DataFrame, centers: DataFrame,
                         start: str | None = None, end: str | None = None, fill: float | None = None,
                         panel: Panel = PANEL) -> DataFrame:
-    """``(center, ts, values)`` of every centre, between two dates when given."""
+    """``(center, ts, values)`` of every centre, between two dates when given.
+
+    The neighbourhoods, no larger than the catalog's names allow, are stored once: the
+    edge list is by far the larger input and would otherwise be read for every use.
+    """
     if start is not None and end is not None:
         df = between_exclusive(df, start, end, on=panel.time)
-    family = neighbors(edges, catalog, centers)
+    family = stored(neighbors(edges, catalog, centers))
     rows = neighbor_panel(df, family, panel.keys[0])
     return to_matrix(rows, family, fill, panel.time, panel.value)
 

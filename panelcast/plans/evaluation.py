@@ -16,6 +16,7 @@ from panelcast.operators.metrics import forecast_metrics
 from panelcast.operators.scale import minmax_stats
 from panelcast.operators.series import take_split
 from panelcast.panel import MATRIX, PANEL, Panel
+from panelcast.session import stored
 
 
 def evaluate_ar(df: DataFrame, spec: ARSpec = ARSpec(), fraction: float = 0.8, scaler: str = "refit",
@@ -48,9 +49,10 @@ def evaluate_grid(df: DataFrame, models: Mapping[str, ARSpec], fraction: float =
     """Scores ``(keys, type, run, ...)`` of every series under every named setting.
 
     All series go through one plan per setting; nothing loops over series. ``run``
-    numbers the scalers, which stand where a seeded model would repeat its seeds.
+    numbers the scalers, which stand where a seeded model would repeat its seeds. The
+    numbered panel is stored once, since every setting reads it twice.
     """
-    ix = index_panel(df, panel)
+    ix = stored(index_panel(df, panel))
     parts = [
         evaluate_ar(ix, spec, fraction, scaler, panel).withColumn("type", F.lit(name)).withColumn("run", F.lit(run))
         for name, spec in models.items() for run, scaler in enumerate(scalers)
@@ -61,7 +63,7 @@ def evaluate_grid(df: DataFrame, models: Mapping[str, ARSpec], fraction: float =
 def evaluate_var_grid(matrix: DataFrame, models: Mapping[str, VARSpec], fraction: float = 0.8,
                       panel: Panel = MATRIX) -> DataFrame:
     """Pooled scores ``(center, type, ...)`` of every neighbourhood under every named setting."""
-    ix = index_panel(matrix, panel)
+    ix = stored(index_panel(matrix, panel))
     parts = [evaluate_var(ix, spec, fraction, panel).withColumn("type", F.lit(name)) for name, spec in models.items()]
     return reduce(DataFrame.unionByName, parts)
 
@@ -69,7 +71,7 @@ def evaluate_var_grid(matrix: DataFrame, models: Mapping[str, VARSpec], fraction
 def evaluate_seeds(df: DataFrame, look_back: int, seeds: Sequence[int], horizon: int = 1, fraction: float = 0.8,
                    panel: Panel = PANEL) -> DataFrame:
     """Scores ``(keys, type, run, ...)`` of the boosted-tree model, one distributed fit per seed."""
-    ix = index_panel(df, panel)
+    ix = stored(index_panel(df, panel))
     train, test = (take_split(ix, part, fraction, panel) for part in ("train", "test"))
     parts = []
     for seed in seeds:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "panelcast", memory: str = "8g") -> SparkSession:
@@ -36,3 +36,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="panelcast-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once to the checkpoint folder, for plans that read them several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

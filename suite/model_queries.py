@@ -20,7 +20,7 @@ from panelcast.operators.index import index_panel
 from panelcast.operators.reshape import select_nodes
 from panelcast.plans.datasets import neighborhood_matrix
 from panelcast.plans.evaluation import evaluate_ar, evaluate_grid, evaluate_seeds, evaluate_var, evaluate_var_grid
-from panelcast.session import ensure_checkpoint_dir
+from panelcast.session import stored
 from panelcast.sources.writers import write_report
 from suite.registry import query
 from suite.series_queries import metrics_sql, scores
@@ -212,7 +212,8 @@ def _group(spark, names):
 
 def _event_matrix(spark, sf_dir, names):
     family = _group(spark, names)
-    return to_matrix(neighbor_panel(select_nodes(events_hourly(spark, sf_dir), names, "series_id"), family), family)
+    # fit and forecast read the matrix and its ranges: store it once
+    return stored(to_matrix(neighbor_panel(select_nodes(events_hourly(spark, sf_dir), names, "series_id"), family), family))
 
 
 def _wide_rows(names: list[str]) -> str:
@@ -290,11 +291,9 @@ def var_scores_neighborhoods(spark, sf_dir):
     catalog = label_catalog(spark, sf_dir)
     matrix = neighborhood_matrix(label_monthly(spark, sf_dir), edges(spark, sf_dir), catalog,
                                  catalog.withColumnRenamed("node", "center"), fill=0.0)
-    # the matrix is read four times below, so it is stored once
-    ensure_checkpoint_dir(spark)
     panel = MONTHLY.with_keys("center").with_value("values")
     settings = {"all": VARSpec(look_back=2), "center": VARSpec(look_back=2, outputs="center")}
-    return scores(evaluate_var_grid(matrix.checkpoint(), settings, panel=panel), "center", "type")
+    return scores(evaluate_var_grid(matrix, settings, panel=panel), "center", "type")
 
 
 # --- windows scored by a model, boosted trees --------------------------------------------

@@ -128,8 +128,8 @@ LABELS = "SELECT p_partkey, p_type || '_' || p_brand AS label, p_size FROM part"
 LAB = f"""SELECT label AS series_id, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS ts, avg(l_extendedprice) AS value
   FROM lineitem JOIN ({LABELS}) ON l_partkey = p_partkey GROUP BY 1, 2"""
 EDGES = f"""SELECT CASE WHEN a.p_size <= 10 THEN a.label END AS source, CASE WHEN b.p_size > 40 THEN b.label END AS sink
-  FROM lineitem JOIN ({LABELS}) a ON l_partkey = a.p_partkey
-  JOIN ({LABELS}) b ON (l_partkey + l_suppkey) % (SELECT count(*) FROM part) = b.p_partkey"""
+  FROM (SELECT l_partkey, (l_partkey + l_suppkey) % (SELECT count(*) FROM part) AS snk FROM lineitem)
+  JOIN ({LABELS}) a ON l_partkey = a.p_partkey JOIN ({LABELS}) b ON snk = b.p_partkey"""
 ZONES = ["COAST", "EAST", "FAR_WEST", "NORTH", "NORTH_C", "SOUTHERN", "SOUTH_C", "WEST"]
 LOAD = "SELECT date_trunc('hour', ts) AS ts, " + ", ".join(
     f"coalesce(sum(CASE WHEN user_id % 8 = {k} THEN value END), 0.0) AS {z}" for k, z in enumerate(ZONES)
