@@ -46,20 +46,23 @@ def clock_seconds(df: DataFrame, time: str) -> Column:
 
 
 def measure_bucket(df: DataFrame, panel: Panel = PANEL) -> int | None:
-    """Widest bucket whose fullest (series, bucket) fits one task; None = whole series fit.
+    """A bucket width whose fullest (series, bucket) fits one task; None = whole series fit.
 
-    Each probe is a count with map-side combine that returns a single number.
+    The longest series' size and time span suggest the width, an exact count confirms
+    it. Every probe is a count with map-side combine that returns one row.
     """
-    seconds = clock_seconds(df, panel.time)
-
-    def fullest(*group: Column) -> int:
-        counts = df.groupBy(*panel.keys, *group).agg(F.count(F.lit(1)).alias("c"))
-        return counts.agg(F.max("c")).first()[0] or 0
-
-    if fullest() <= panel.rows_per_task:
+    timed = df.select(*panel.keys, clock_seconds(df, panel.time).alias("_s"))
+    sizes = timed.groupBy(*panel.keys).agg(
+        F.count(F.lit(1)).alias("rows"), (F.max("_s") - F.min("_s") + 1).alias("span"))
+    longest = sizes.agg(F.max("rows").alias("rows"), F.max_by("span", "rows").alias("span")).first()
+    if not longest["rows"] or longest["rows"] <= panel.rows_per_task:
         return None
     for width in BUCKET_SECONDS:
-        if fullest(F.floor(seconds / width).alias(_BUCKET)) <= panel.rows_per_task:
+        if width > 1 and longest["rows"] * width > panel.rows_per_task * longest["span"]:
+            continue
+        counts = timed.groupBy(*panel.keys, F.floor(F.col("_s") / width).alias(_BUCKET)).agg(
+            F.count(F.lit(1)).alias("rows"))
+        if counts.agg(F.max("rows")).first()[0] <= panel.rows_per_task:
             return width
     raise ValueError(f"more than {panel.rows_per_task} rows of one series share a second; raise rows_per_task")
 

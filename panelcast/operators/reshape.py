@@ -43,10 +43,14 @@ def select_nodes(df: DataFrame, nodes: str | Sequence[str], node: str = "node")
 
 
 def between_exclusive(df: DataFrame, start: str | dt.date, end: str | dt.date, on: str = "delivery_date") -> DataFrame:
-    """Rows strictly after ``start`` and strictly before ``end`` (dates, padded or not)."""
+    """Rows dated strictly after ``start`` and strictly before ``end`` (dates, padded or not).
+
+    On a timestamp column every hour of either date is left out; the bounds are written
+    as plain comparisons so that they reach the scan.
+    """
     kind = df.schema[on].dataType
-    low, high = (F.lit(str(x)).cast("date").cast(kind) for x in (start, end))
-    return df.filter((F.col(on) > low) & (F.col(on) < high))
+    first = F.date_add(F.lit(str(start)).cast("date"), 1).cast(kind)
+    return df.filter((F.col(on) >= first) & (F.col(on) < F.lit(str(end)).cast("date").cast(kind)))
 
 
 def drop_any_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:

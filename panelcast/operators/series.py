@@ -83,10 +83,11 @@ def sliding_sequences(df: DataFrame, rf: int, horizon: int = 1, panel: Panel = P
 
     The last legal window is left out, as the rule ``start + rf + horizon < length``
     asks. Windows repeat each value ``rf`` times: consume them in the same stage
-    rather than storing them. Values must not be NULL.
+    rather than storing them. A missing value is NaN inside ``past``.
     """
     rows, w = windowed(df, panel, before=rf - 1, after=horizon)
-    out = rows.withColumn("past", F.collect_list(panel.value).over(w.rowsBetween(-(rf - 1), 0))).withColumn(
+    x = F.coalesce(F.col(panel.value), F.lit(float("nan")))
+    out = rows.withColumn("past", F.collect_list(x).over(w.rowsBetween(-(rf - 1), 0))).withColumn(
         "target", F.lead(panel.value, horizon).over(w))
     return core(out.filter((F.col("pos") >= rf) & (F.col("pos") + horizon <= F.col("n") - 1)))
 

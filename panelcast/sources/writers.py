@@ -29,9 +29,9 @@ def write_shard_map(shards: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").text(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """Tab-separated report with a header line."""
-    report.write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+def write_report(report: DataFrame, path: str, single_file: bool = False) -> None:
+    """Tab-separated report, a header line in every part; ``single_file`` is for short reports."""
+    (report.coalesce(1) if single_file else report).write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
 
 
 def materialize_splits(splits: DataFrame, path: str) -> DataFrame:

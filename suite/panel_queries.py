@@ -71,7 +71,7 @@ def complete_hours_suppliers(spark, sf_dir):
 
 
 @query("query_prices", f"""WITH p AS ({EV}), s AS ({_EV_SHARDS}),
-  ranged AS (SELECT * FROM p WHERE ts > TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25'),
+  ranged AS (SELECT * FROM p WHERE CAST(ts AS DATE) > DATE '2024-01-03' AND CAST(ts AS DATE) < DATE '2024-01-25'),
   full_ts AS (SELECT ts FROM ranged JOIN s ON series_id = node GROUP BY ts
     HAVING count(DISTINCT shard) = (SELECT count(DISTINCT shard) FROM s))
   SELECT series_id, {sql_stamp()} AS ts, {sql_r('coalesce(value, 0.0)')} AS value FROM ranged

@@ -147,3 +147,15 @@ def test_window_mase(spark):
     row = S.window_mase(windows).first()
     # windows [1,3]->2 and [3,2]->6: errors 0 and 4, steps (2+1) and (1+4)
     assert (row.mae, row.mean_abs_step, row.mase) == (2.0, 2.0, 1.0)
+
+
+def test_a_missing_value_keeps_its_place_in_the_window(spark):
+    df = panel_of(spark, {"s": [1, 2, 3, 4, 5]}).withColumn("value", F.expr("nullif(value, 2)"))
+    got = by_series(S.sliding_sequences(df, 3, 1), "past")["s"]
+    assert str(got[0][0]) == "[1.0, nan, 3.0]"
+
+
+def test_date_range_leaves_out_every_hour_of_both_ends(spark):
+    df = panel_of(spark, {"s": range(96)})
+    kept = R.between_exclusive(df, "2024-1-1", "2024-01-04", "ts").collect()
+    assert {r.ts.day for r in kept} == {2, 3} and len(kept) == 48
