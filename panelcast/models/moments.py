@@ -7,6 +7,7 @@ only; the intercept is free.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,7 +27,7 @@ def _with_keys(df: DataFrame, keys: Sequence[str], tail: str) -> T.StructType:
 
 
 def gram(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """``(keys, n_x, cells)`` with the row-major Gram matrix of ``[1, x, y]`` per group.
+    """``(keys, n_x, cells)``: the upper triangle, row by row, of the Gram matrix of ``[1, x, y]``.
 
     ``x`` and ``y`` are array columns of the same length within a group. Centre large
     values first: products of uncentred numbers lose digits.
@@ -39,7 +40,7 @@ def gram(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> Da
         def emit() -> pd.DataFrame:
             out = pd.DataFrame(list(held), columns=keys)
             out["n_x"] = [n for n, _ in held.values()]
-            out["cells"] = [g.ravel() for _, g in held.values()]
+            out["cells"] = [g[np.triu_indices(len(g))] for _, g in held.values()]
             return out
 
         for batch in batches:
@@ -73,8 +74,10 @@ def solve_ridge(grams: DataFrame, keys: Sequence[str], alpha: float = 1.0) -> Da
         for batch in batches:
             coefs = []
             for n_x, cells in zip(batch["n_x"], batch["cells"]):
-                size = int(round(len(cells) ** 0.5))
-                g = np.asarray(cells, dtype=float).reshape(size, size)
+                size = int(round((math.sqrt(8 * len(cells) + 1) - 1) / 2))
+                g = np.zeros((size, size))
+                g[np.triu_indices(size)] = cells
+                g += np.triu(g, 1).T
                 n, mean = g[0, 0], g[0, 1:] / g[0, 0]
                 scatter = g[1:, 1:] - n * np.outer(mean, mean)
                 weights = np.linalg.solve(scatter[:n_x, :n_x] + alpha * np.eye(n_x), scatter[:n_x, n_x:])

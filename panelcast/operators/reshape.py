@@ -191,3 +191,17 @@ def pivot_prices(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ("t
     """One row per hour, one column per listed node, NULL where the hour lacks the node."""
     reducer = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "first": F.first}[agg]
     return df.groupBy(*keys).pivot(series, sorted(values)).agg(reducer(value))
+
+
+def wide_shard_lines(df: DataFrame, shards: DataFrame, series: str = "series_id", time: str = "ts",
+                     value: str = "value", null_text: str = "null") -> DataFrame:
+    """``(shard, ts, line)``: the text rows of all wide shard tables in one job.
+
+    A line lists the hour and the prices of the shard's nodes in name order, missing
+    ones as ``null_text``; it is never longer than the shard size.
+    """
+    full = complete_panel(df, shards, series, time, value)
+    cells = collect_hour(full, series, time, value, shards)
+    texts = F.transform("cells", lambda c: F.coalesce(c["price"].cast("string"), F.lit(null_text)))
+    hour = F.date_format(time, "yyyy-MM-dd,HH:mm")
+    return cells.select("shard", time, F.concat_ws(",", hour, F.array_join(texts, ",")).alias("line"))

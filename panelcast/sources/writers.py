@@ -16,6 +16,21 @@ def write_wide(wide: DataFrame, path: str, fmt: str = "csv", null_text: str = "n
         wide.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_wide_shards(lines: DataFrame, path: str) -> None:
+    """The text rows of every shard table, one folder per shard, hours in order within a file."""
+    (lines.hint("rebalance", "shard").sortWithinPartitions("shard", "ts").select("shard", "line")
+     .write.mode("overwrite").partitionBy("shard").text(path))
+
+
+def write_panel(df: DataFrame, path: str, series: str = "series_id", time: str = "ts") -> None:
+    """A long panel as Parquet, range-partitioned and sorted by series and time.
+
+    Row-group statistics then let a scan for some series or dates skip the rest, and a
+    long series is spread over several files.
+    """
+    df.repartitionByRange(series, time).sortWithinPartitions(series, time).write.mode("overwrite").parquet(path)
+
+
 def write_catalog(catalog: DataFrame, path: str, single_file: bool = False) -> None:
     """Node names in order. Part files are in order too; ``single_file`` is for small catalogs."""
     names = catalog.select("node").orderBy("node")

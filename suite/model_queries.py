@@ -183,8 +183,8 @@ def lag_gram(spark, sf_dir):
     rows = S.lag_features(diffs, 2, HOURLY).select("series_id", F.array("lag_1", "lag_2").alias("x"), F.array("value").alias("y"))
     g = F.col("cells")
     return gram(rows, ["series_id"]).select(
-        "series_id", F.round(g[0]).cast("bigint").alias("n"), r(g[5]).alias("l1_l1"), r(g[6]).alias("l1_l2"),
-        r(g[10]).alias("l2_l2"), r(g[7]).alias("l1_v"), r(g[11]).alias("l2_v"))
+        "series_id", F.round(g[0]).cast("bigint").alias("n"), r(g[4]).alias("l1_l1"), r(g[5]).alias("l1_l2"),
+        r(g[7]).alias("l2_l2"), r(g[6]).alias("l1_v"), r(g[8]).alias("l2_v"))
 
 
 def _recursive_sql():

@@ -62,7 +62,7 @@ def yearly_union(spark, sf_dir):
   FROM ({LI}) GROUP BY series_id""")
 def stored_panel_scan(spark, sf_dir):
     path = scratch(spark, "panel")
-    supplier_daily(spark, sf_dir).write.parquet(path)
+    writers.write_panel(supplier_daily(spark, sf_dir), path)
     return readers.load_panel(spark, path).groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(stamp("ts")).alias("first_ts"), r(F.sum("value"), 2).alias("total"))
 
@@ -110,6 +110,22 @@ def wide_csv_lines(spark, sf_dir):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query("wide_shard_lines", f"""
+  WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, l_shipdate AS ts, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2),
+  s AS (SELECT node, (row_number() OVER (ORDER BY node) - 1) // 25 AS shard FROM (SELECT DISTINCT series_id AS node FROM p)),
+  h AS (SELECT DISTINCT ts, shard FROM p JOIN s ON series_id = node)
+  SELECT h.shard, strftime(h.ts, '%Y-%m-%d,%H:%M') || ',' || string_agg(coalesce(CAST(value AS VARCHAR), 'null'), ',' ORDER BY node) AS line
+  FROM h JOIN s ON h.shard = s.shard LEFT JOIN p ON p.ts = h.ts AND series_id = node GROUP BY h.shard, h.ts""")
+def wide_shard_lines(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    top = (li.groupBy("l_suppkey", F.col("l_shipdate").alias("ts")).agg(F.max("l_extendedprice").alias("value"))
+           .select(F.col("l_suppkey").cast("string").alias("series_id"), "ts", "value"))
+    path = scratch(spark, "shard_tables")
+    writers.write_wide_shards(R.wide_shard_lines(top, R.assign_shards(supplier_names(spark, sf_dir), 25)), path)
+    stored = spark.read.schema("value string, shard bigint").text(path)
+    return stored.select("shard", F.col("value").alias("line"))
+
+
 @query("shard_lists", f"""
   SELECT shard, count(*) AS n, string_agg(node, ',' ORDER BY node) AS nodes FROM (
     SELECT node, (row_number() OVER (ORDER BY node) - 1) // 25 AS shard
