@@ -63,6 +63,12 @@ def _compose(parts: Column) -> Column:
     return F.aggregate(parts, start, then)
 
 
+def _in_order(place: str) -> Column:
+    """The collected summaries of a group, sorted by their place."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(place).alias("at"), "s")))
+    return F.transform(pairs, lambda p: p["s"])
+
+
 def arma_residual_ss(df: DataFrame, grid: Mapping[str, Sequence[float]], panel: Panel = PANEL,
                      block_rows: int = BLOCK_ROWS, blocks_per_group: int = BLOCKS_PER_GROUP) -> DataFrame:
     """``(keys, mu, phi, theta, ss, n)`` for every series and every point of the grid.
@@ -80,14 +86,12 @@ def arma_residual_ss(df: DataFrame, grid: Mapping[str, Sequence[float]], panel:
         blocks = blocks.withColumn(name, _choices(grid[name]))
     folded = blocks.select(*keys, *_PARAMS, "_block", _fold_block(
         F.col("_cells"), F.col("mu"), F.col("phi"), F.col("theta")).alias("s"))
-    group = F.floor(F.col("_block") / blocks_per_group)
-    for level in (group.alias("_group"), None):
-        by = [*keys, *_PARAMS] + ([level] if level is not None else [])
-        order = "_block" if level is not None else "_group"
-        ordered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col("s").alias("s"))))
-        folded = folded.groupBy(*by).agg(_compose(F.transform(ordered, lambda o: o["s"])).alias("s"))
+    point = [*keys, *_PARAMS]
+    group = F.floor(F.col("_block") / blocks_per_group).alias("_group")
+    grouped = folded.groupBy(*point, group).agg(_compose(_in_order("_block")).alias("s"))
+    whole = grouped.groupBy(*point).agg(_compose(_in_order("_group")).alias("s"))
     ss = F.col("s.saa")
-    return folded.select(*keys, *_PARAMS, F.when(F.isnan(ss), F.lit(math.inf)).otherwise(ss).alias("ss"),
+    return whole.select(*point, F.when(F.isnan(ss), F.lit(math.inf)).otherwise(ss).alias("ss"),
                          F.col("s.m").cast("long").alias("n"))
 
 

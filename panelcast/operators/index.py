@@ -14,8 +14,6 @@ each observation. Two layouts give the same numbers:
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,7 +152,3 @@ def global_position(df: DataFrame, order: list[str]) -> DataFrame:
     return (numbered.join(F.broadcast(sizes), "_part")
             .withColumn("rank", F.col("_start") + F.col("_local"))
             .select(*df.columns, "rank"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

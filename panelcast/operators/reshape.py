@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.columns import hour_ts
-from panelcast.operators.index import all_of, global_position
+from panelcast.functions.columns import all_of, hour_ts
+from panelcast.operators.index import global_position
 
 SHARD_SIZE = 1000
 
@@ -189,7 +189,7 @@ def cell_prices(cells: Column) -> Column:
 def pivot_prices(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ("ts",), series: str = "series_id",
                  value: str = "value", agg: str = "avg") -> DataFrame:
     """One row per hour, one column per listed node, NULL where the hour lacks the node."""
-    reducer = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "first": F.first}[agg]
+    reducer = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[agg]
     return df.groupBy(*keys).pivot(series, sorted(values)).agg(reducer(value))
 
 

@@ -287,3 +287,8 @@ def test_grid_has_every_series_and_setting(spark):
     grid = evaluate_grid(df, {"a": ARSpec(p=1, lag=1, log_difference=False), "b": ARSpec(p=3)}, scalers=("refit", "train"), panel=GRID)
     rows = grid.collect()
     assert {(r.series_id, r.type, r.run) for r in rows} == {(s, t, k) for s in ("hot", "mid") for t in "ab" for k in (0, 1)}
+
+
+def test_plain_report(spark):
+    row = M.plain_report(spark.createDataFrame([("n", 0.5, 1.0, 0.25)], "node string, mae double, mase double, hits double")).first()
+    assert tuple(row) == ("n", "0.500000", "1.000000", "0.250000")
