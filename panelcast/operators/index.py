@@ -21,51 +21,62 @@ from pyspark.sql import types as T
 from panelcast.panel import PANEL, Panel
 from panelcast.session import stored
 
-# candidate bucket widths, widest first: 1 year, 30 days, 1 day, 1 hour, 1 minute, 1 second
-BUCKET_SECONDS = (31_536_000, 2_592_000, 86_400, 3_600, 60, 1)
-
+# candidate bucket widths in microseconds, widest first: 365 days, 30 days, 1 day, 1 hour, 1 minute,
+# then 1 second down to the resolution of a timestamp
+BUCKET_TICKS = (31_536_000_000_000, 2_592_000_000_000, 86_400_000_000, 3_600_000_000, 60_000_000,
+                1_000_000, 100_000, 10_000, 1_000, 100, 10, 1)
+BUCKETS_PER_SPAN = 100_000
 SALTS = 32
 
 _BUCKET, _BLOCK, _CORE, _SALT = "_bucket", "_block", "_core", "_salt"
 
 
-def clock_seconds(df: DataFrame, time: str) -> Column:
-    """Seconds on the column's own clock, never through the session time zone."""
+def clock_ticks(df: DataFrame, time: str) -> Column:
+    """Microseconds on the column's own clock, never through the session time zone.
+
+    A numeric time column counts in its own units.
+    """
     kind = df.schema[time].dataType
     c = F.col(time)
     if isinstance(kind, T.TimestampType):
-        return F.unix_seconds(c)
+        return F.unix_micros(c)
     if isinstance(kind, (T.DateType, T.TimestampNTZType)):
-        days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400
+        days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
         if isinstance(kind, T.DateType):
-            return days
-        return days + F.hour(c) * 3_600 + F.minute(c) * 60 + F.second(c)
+            return days * 86_400_000_000
+        minutes = (days * 24 + F.hour(c)) * 60 + F.minute(c)
+        return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
     return F.floor(c).cast("long")
 
 
+def _bucket_of(ticks: Column, width: int) -> Column:
+    # whole-number arithmetic: a quotient of doubles could round up at a bucket's end
+    return (ticks - F.pmod(ticks, F.lit(width).cast("long"))).cast("long")
+
+
 def measure_bucket(df: DataFrame, panel: Panel = PANEL) -> int | None:
     """A bucket width whose fullest (series, bucket) fits one task; None = whole series fit.
 
     The longest series' size and time span suggest the width, an exact count confirms
     it. Every probe is a count with map-side combine that returns one row.
     """
-    timed = df.select(*panel.keys, clock_seconds(df, panel.time).alias("_s"))
+    timed = df.select(*panel.keys, clock_ticks(df, panel.time).alias("_t"))
     sizes = timed.groupBy(*panel.keys).agg(
-        F.count(F.lit(1)).alias("rows"), (F.max("_s") - F.min("_s") + 1).alias("span"))
+        F.count(F.lit(1)).alias("rows"), (F.max("_t") - F.min("_t") + 1).cast("double").alias("span"))
     longest = sizes.agg(F.max("rows").alias("rows"), F.max_by("span", "rows").alias("span")).first()
     if not longest["rows"] or longest["rows"] <= panel.rows_per_task:
         return None
-    for width in BUCKET_SECONDS:
+    for width in BUCKET_TICKS:
         if width > 1 and longest["rows"] * width > panel.rows_per_task * longest["span"]:
             continue
-        counts = timed.groupBy(*panel.keys, F.floor(F.col("_s") / width).alias(_BUCKET)).agg(
+        counts = timed.groupBy(*panel.keys, _bucket_of(F.col("_t"), width).alias(_BUCKET)).agg(
             F.count(F.lit(1)).alias("rows"))
         if counts.agg(F.max("rows")).first()[0] <= panel.rows_per_task:
             return width
-    raise ValueError(f"more than {panel.rows_per_task} rows of one series share a second; raise rows_per_task")
+    raise ValueError(f"more than {panel.rows_per_task} rows of one series share a time; it must be unique")
 
 
-def index_panel(df: DataFrame, panel: Panel = PANEL, bucket_seconds: int | None = None) -> DataFrame:
+def index_panel(df: DataFrame, panel: Panel = PANEL, bucket_ticks: int | None = None) -> DataFrame:
     """Adds ``pos`` (1-based position in the series) and ``n`` (series length).
 
     A panel that already carries both is returned as it is, so a chain of operators,
@@ -74,19 +85,14 @@ def index_panel(df: DataFrame, panel: Panel = PANEL, bucket_seconds: int | None
     if {"pos", "n"} <= set(df.columns):
         return df
     keys = list(panel.keys)
-    if bucket_seconds is None and not panel.bounded:
-        bucket_seconds = measure_bucket(df, panel)
-    if bucket_seconds is None:
+    if bucket_ticks is None and not panel.bounded:
+        bucket_ticks = measure_bucket(df, panel)
+    if bucket_ticks is None:
         w = Window.partitionBy(*keys)
         return df.withColumn("pos", F.row_number().over(w.orderBy(panel.time)).cast("long")).withColumn(
             "n", F.count(F.lit(1)).over(w))
-    bucketed = df.withColumn(_BUCKET, F.floor(clock_seconds(df, panel.time) / bucket_seconds))
-    counts = bucketed.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_count"))
-    per_series = Window.partitionBy(*keys)
-    before = per_series.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, _BUCKET,
-                           F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"),
-                           F.sum("_count").over(per_series).alias("n"))
+    bucketed = df.withColumn(_BUCKET, _bucket_of(clock_ticks(df, panel.time), bucket_ticks))
+    starts = _bucket_starts(bucketed, keys, bucket_ticks)
     local = Window.partitionBy(*keys, _BUCKET).orderBy(panel.time)
     numbered = bucketed.withColumn("_local", F.row_number().over(local))
     return (numbered.join(starts, [*keys, _BUCKET])
@@ -94,6 +100,26 @@ def index_panel(df: DataFrame, panel: Panel = PANEL, bucket_seconds: int | None
             .select(*df.columns, "pos", "n"))
 
 
+def _bucket_starts(bucketed: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``(keys, bucket, _start, n)``: rows of the series before each bucket, and in all.
+
+    Counts are summed along spans of at most ``BUCKETS_PER_SPAN`` buckets, and the spans'
+    totals along the series, so that a long series of thin buckets is not one group.
+    """
+    span = _bucket_of(F.col(_BUCKET), width * BUCKETS_PER_SPAN)
+    counts = bucketed.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_count")).withColumn("_span", span)
+
+    def running(total: str, w: WindowSpec) -> Column:
+        return F.coalesce(F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    series = Window.partitionBy(*keys)
+    spans = counts.groupBy(*keys, "_span").agg(F.sum("_count").alias("_total")).select(
+        *keys, "_span", running("_total", series.orderBy("_span")).alias("_before"), F.sum("_total").over(series).alias("n"))
+    inside = counts.withColumn("_inside", running("_count", Window.partitionBy(*keys, "_span").orderBy(_BUCKET)))
+    return inside.join(spans, [*keys, "_span"]).select(
+        *keys, _BUCKET, (F.col("_before") + F.col("_inside")).alias("_start"), "n")
+
+
 def windowed(df: DataFrame, panel: Panel = PANEL, before: int = 0, after: int = 0) -> tuple[DataFrame, WindowSpec]:
     """An indexed panel plus the window that reaches ``before`` rows back and ``after`` ahead.
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helpers import BLOCKS, GRID, LAYOUTS, by_series, panel_of, skewed
+from panelcast.operators import index
 from panelcast.operators import metrics as M
 from panelcast.operators import scale as SC
 from panelcast.operators import series as S
-from panelcast.operators.index import (attach, clock_seconds, core, global_position, index_panel, measure_bucket,
+from panelcast.operators.index import (attach, clock_ticks, core, global_position, index_panel, measure_bucket,
                                        windowed)
 from panelcast.panel import Panel
 from panelcast.session import ensure_checkpoint_dir
@@ -31,6 +32,14 @@ def test_positions(skew, panel):
         assert got[s] == [(i + 1, len(xs), x) for i, x in enumerate(xs)]
 
 
+def test_running_counts_cross_spans(skew, monkeypatch):
+    df, values = skew
+    monkeypatch.setattr(index, "BUCKETS_PER_SPAN", 4)
+    got = by_series(index_panel(df, BLOCKS, bucket_ticks=7 * 3_600_000_000), "pos", "n")
+    for s, xs in values.items():
+        assert got[s] == [(i + 1, len(xs)) for i in range(len(xs))]
+
+
 def test_small_tasks_force_buckets_and_blocks(skew):
     df, _ = skew
     assert measure_bucket(df, GRID) is None
@@ -41,21 +50,26 @@ def test_small_tasks_force_buckets_and_blocks(skew):
     assert core(blocks).count() == df.count()
 
 
-def test_a_crowded_second_is_reported(spark):
-    rows = [("a", dt.datetime(2024, 1, 1, 0, 0, 0, i)) for i in range(30)]
+def test_a_crowded_second_is_cut_finer(spark):
+    rows = [("a", dt.datetime(2024, 1, 1, 0, 0, 0, i * 7)) for i in range(30)] + [("b", dt.datetime(1960, 1, 1))]
     df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz")
-    with pytest.raises(ValueError, match="share a second"):
-        measure_bucket(df, Panel(rows_per_task=10))
-
-
-@pytest.mark.parametrize("kind, sql", [
-    (T.TimestampNTZType, "timestamp_ntz'2024-03-10 02:30:07'"), (T.TimestampType, "timestamp'2024-03-10 02:30:07'"),
-    (T.DateType, "date'2024-03-10'"), (T.LongType, "1710000000L")])
-def test_clock_seconds(spark, kind, sql):
+    panel = Panel(rows_per_task=10)
+    assert measure_bucket(df, panel) == 10
+    got = [(r.pos, r.n) for r in index_panel(df, panel).filter("series_id = 'a'").orderBy("ts").collect()]
+    assert got == [(i + 1, 30) for i in range(30)]
+    with pytest.raises(ValueError, match="share a time"):
+        measure_bucket(df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), panel)
+
+
+@pytest.mark.parametrize("kind, sql, want", [
+    (T.TimestampNTZType, "timestamp_ntz'2024-03-10 02:30:07.000009'", 1710037807000009),
+    (T.TimestampNTZType, "timestamp_ntz'1969-12-31 23:59:59.5'", -500000),
+    (T.TimestampType, "timestamp'2024-03-10 02:30:07.25'", 1710037807250000),
+    (T.DateType, "date'2024-03-10'", 1710028800000000), (T.LongType, "1710000000L", 1710000000)])
+def test_clock_ticks(spark, kind, sql, want):
     df = spark.sql(f"SELECT {sql} AS ts")
     assert isinstance(df.schema["ts"].dataType, kind)
-    want = {T.DateType: 1710028800, T.LongType: 1710000000}.get(kind, 1710037807)
-    assert df.select(clock_seconds(df, "ts")).first()[0] == want
+    assert df.select(clock_ticks(df, "ts")).first()[0] == want
 
 
 @pytest.mark.parametrize("make", [
