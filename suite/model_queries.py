@@ -101,9 +101,9 @@ def sql_ar_predict(source: str, fit: str, spec: ARSpec) -> str:
       FROM ({corrected}) WHERE pos > {start + spec.q}"""
 
 
-def sql_ar_scores(panel: str, spec: ARSpec) -> str:
+def sql_ar_scores(panel: str, spec: ARSpec, rounded: bool = True) -> str:
     train, test = _split_parts(panel)
-    return metrics_sql(sql_ar_predict(test, sql_ar_fit(train, spec), spec))
+    return metrics_sql(sql_ar_predict(test, sql_ar_fit(train, spec), spec), rounded=rounded)
 
 
 # --- ridge autoregression ----------------------------------------------------------------
@@ -375,8 +375,9 @@ def posterior(spark, sf_dir):
 MODELS = {"level": LEVEL2, "log": LOG2, "seasonal": SEASONAL}
 
 
-def _grid_sql():
-    return " UNION ALL ".join(f"SELECT *, '{name}' AS type FROM ({sql_ar_scores(EV, spec)})" for name, spec in MODELS.items())
+def _grid_sql(rounded: bool = True) -> str:
+    return " UNION ALL ".join(
+        f"SELECT *, '{name}' AS type FROM ({sql_ar_scores(EV, spec, rounded)})" for name, spec in MODELS.items())
 
 
 @query("evaluation_grid", _grid_sql())
@@ -385,7 +386,8 @@ def evaluation_grid(spark, sf_dir):
 
 
 @query("evaluation_report", f"""
-  SELECT type, {', '.join(f"printf('%.4f+/-%.4f', avg({m}), stddev_pop({m})) AS {m}" for m in M.METRICS)} FROM ({_grid_sql()}) GROUP BY type""")
+  SELECT type, {', '.join(f"printf('%.4f+/-%.4f', avg({m}), stddev_pop({m})) AS {m}" for m in M.METRICS)}
+  FROM ({_grid_sql(rounded=False)}) GROUP BY type""")
 def evaluation_report(spark, sf_dir):
     grid = evaluate_grid(events_hourly(spark, sf_dir), MODELS, panel=HOURLY)
     report = M.metrics_report(grid, by=("type",))

@@ -300,13 +300,15 @@ def calendar_features(spark, sf_dir):
 
 # --- forecasts and scores ----------------------------------------------------------------
 
-def metrics_sql(source: str, by: str = "series_id", part: str = "series_id", order: str = "ts", horizon: int = 1) -> str:
+def metrics_sql(source: str, by: str = "series_id", part: str = "series_id", order: str = "ts", horizon: int = 1,
+                rounded: bool = True) -> str:
     """Scores of a query that yields ``predicted`` and ``actual``."""
     w = f"(PARTITION BY {part} ORDER BY {order})"
-    return f"""SELECT {by}, {sql_r('avg(abs(predicted - actual))')} AS mae, {sql_r('avg(naive)')} AS naive_mae,
-      {sql_r('avg(abs(predicted - actual)) / nullif(avg(naive), 0)')} AS mase,
-      {sql_r('avg(CASE WHEN dp * da > 0 THEN abs(predicted) END)')} AS hits,
-      {sql_r('avg(CASE WHEN dp * da > 0 THEN 1.0 WHEN dp * da <= 0 THEN 0.0 END)')} AS hit_rate FROM (
+    shown = sql_r if rounded else str
+    return f"""SELECT {by}, {shown('avg(abs(predicted - actual))')} AS mae, {shown('avg(naive)')} AS naive_mae,
+      {shown('avg(abs(predicted - actual)) / nullif(avg(naive), 0)')} AS mase,
+      {shown('avg(CASE WHEN dp * da > 0 THEN abs(predicted) END)')} AS hits,
+      {shown('avg(CASE WHEN dp * da > 0 THEN 1.0 WHEN dp * da <= 0 THEN 0.0 END)')} AS hit_rate FROM (
       SELECT *, abs(actual - lag(actual, {horizon}) OVER {w}) AS naive, predicted - lag(predicted) OVER {w} AS dp,
         actual - lag(actual) OVER {w} AS da FROM ({source})) GROUP BY {by}"""
 
