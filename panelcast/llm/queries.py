@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.decontaminate import find_matches
 from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.registry import QUERIES, SQL, query  # noqa: F401
+from panelcast.llm.suffix_dedup import remove_repeats
 from panelcast.llm.tables import table
 
 ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -56,3 +57,9 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) m USING (
 """)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
