@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.decontaminate import find_matches
+from panelcast.llm.language import fit, predict
 from panelcast.llm.ngram_join import similar_groups
+from panelcast.llm.packing import pack_documents
 from panelcast.llm.registry import QUERIES, SQL, query  # noqa: F401
 from panelcast.llm.suffix_dedup import remove_repeats
 from panelcast.llm.tables import table
@@ -56,10 +58,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) m USING (doc_id)
 """)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"))
+    return similar_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query("op7_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"))
+    model = fit(docs.where("NOT held_out"))
+    return predict(docs, model, keep=["doc_id", "held_out"]).select("row.*", "lang_pred", "score")

@@ -299,7 +299,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
 
 def _cut(length: int):
-    """Bytes left of each text, the number of bytes and of maximal stretches removed."""
+    """Bytes left of each text, as text without characters that lost bytes, and what was removed."""
 
     def run(batches):
         for batch in batches:
@@ -317,14 +317,16 @@ def _cut(length: int):
                 removed.append(len(data) - len(kept[-1]))
                 spans.append(stretches)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
-                names=["row", "kept", "n_removed", "n_spans"])
+                [batch.column("row"), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept]),
+                 pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
+                names=["row", "kept", "kept_text", "n_removed", "n_spans"])
     return run
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
                    crowded: int = CROWDED) -> DataFrame:
-    """Every document as struct `row`, with `kept` (the bytes left), `n_bytes`, `n_removed` and `n_spans`.
+    """Every document as struct `row`, with `kept` (the bytes left), `kept_text` (without
+    characters that lost some of their bytes), `n_bytes`, `n_removed` and `n_spans`.
 
     A byte goes if it lies in a string of `length` bytes that starts at any other place, in the same text or another
     row, judged on the input. Defined results: null texts are empty and lose nothing; a repeated row is another place,
@@ -338,10 +340,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, an
     marked = maybe_in(docs, "text_key", windows, "_maybe")
     zero = F.lit(0).cast("bigint")
     whole = marked.where("NOT _maybe").select("row", F.encode("text", "UTF-8").alias("kept"),
-                                              zero.alias("n_removed"), zero.alias("n_spans"))
+                                              F.col("text").alias("kept_text"), zero.alias("n_removed"), zero.alias("n_spans"))
     row_type = docs.schema["row"].dataType.simpleString()
     cut = marked.where("_maybe").select("row", "text", "text_key").join(windows, "text_key", "left").select(
-        "row", "text", "windows").mapInArrow(_cut(length), f"row {row_type}, kept binary, n_removed bigint, n_spans bigint")
+        "row", "text", "windows").mapInArrow(_cut(length), f"row {row_type}, kept binary, kept_text string, n_removed bigint, n_spans bigint")
     out = whole.union(cut)
-    return out.select("row", "kept", (F.octet_length("kept") + F.col("n_removed")).cast("bigint").alias("n_bytes"),
+    return out.select("row", "kept", "kept_text", (F.octet_length("kept") + F.col("n_removed")).cast("bigint").alias("n_bytes"),
                       "n_removed", "n_spans")
