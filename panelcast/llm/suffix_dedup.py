@@ -34,7 +34,9 @@ STEPS = (64, 8, 1)
 CUT = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("text_key", pa.int64()), ("low", pa.int64()),
                  ("bytes", pa.binary())])
 SPAN = pa.schema([("text_key", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
-CHUNK = "anchor bigint, content bigint, text_key bigint, low bigint, high bigint, place bigint"
+CHUNK = "anchor bigint, content bigint, text_key bigint, low bigint, high bigint, place bigint, known boolean"
+CHUNKS = ["anchor", "content", "text_key", "low", "high", "place", "known"]
+MET = 1 << 19
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,10 +74,15 @@ def chunks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
 
 
 def _candidates(length: int, anchor: int):
-    """The chunks of every text, once per text and task; long texts in overlapping pieces."""
+    """The chunks of every text, once per text and task; long texts in overlapping pieces.
+
+    What a task has met twice is known to repeat: further copies of a chunk are marked so and go under keys of their
+    own, so that a common passage does not send all its rows to one task.
+    """
 
     def run(batches):
         seen: set[int] = set()
+        met: dict[int, int] = {}
         for part in tx.slices(batches, "text"):
             keys = part.column("text_key").to_numpy(zero_copy_only=False)
             data, offsets = tx.byte_buffer(part.column("text"))
@@ -101,10 +108,17 @@ def _candidates(length: int, anchor: int):
                 hashes, content, row, low, high, place = got
                 base = offsets[row] - start
                 use = fresh[row]
+                known = np.zeros(int(use.sum()), bool)
+                for k, c in enumerate(content[use].tolist()):
+                    times = met.get(c, 0)
+                    known[k] = times > 1
+                    if times or len(met) < MET:
+                        met[c] = times + 1
+                text_key, low = keys[row[use]], (low - base)[use]
+                own = tx.mix(text_key.view(np.uint64) + low.astype(np.uint64) * tx.BASE)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(hashes[use])), pa.array(as_long(content[use])), pa.array(keys[row[use]]),
-                     pa.array((low - base)[use]), pa.array((high - base)[use]), pa.array((place - base)[use])],
-                    names=["anchor", "content", "text_key", "low", "high", "place"])
+                    [pa.array(as_long(np.where(known, own, hashes[use]))), pa.array(as_long(content[use])), pa.array(text_key),
+                     pa.array(low), pa.array((high - base)[use]), pa.array((place - base)[use]), pa.array(known)], names=CHUNKS)
     return run
 
 
@@ -251,8 +265,7 @@ def _divide(step: int, length: int):
                     content = prefix.spans(low, high + length - 1) + (high - low).astype(np.uint64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(as_long(anchor)), pa.array(as_long(content)), pa.array(np.full(len(low), key)),
-                         pa.array(low), pa.array(high), pa.array(np.full(len(low), w["place"]))],
-                        names=["anchor", "content", "text_key", "low", "high", "place"])
+                         pa.array(low), pa.array(high), pa.array(np.full(len(low), w["place"])), pa.array(np.zeros(len(low), bool))], names=CHUNKS)
     return run
 
 
@@ -271,7 +284,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", F.struct("text_key", "low") == F.min(F.struct("text_key", "low")).over(same))
     rows = rows.withColumn("times", F.count("*").over(group)).withColumn(
         "variants", F.sum(F.col("first").cast("bigint")).over(group))
-    return stored(rows.where("times > 1").drop("times"))
+    return stored(rows.where("times > 1 OR known").drop("times"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowded: int = CROWDED) -> DataFrame:
@@ -282,7 +295,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     rows = docs.select("text", "text_key").mapInArrow(_candidates(length, anchor), CHUNK)
     for step in (*(min(s, length // 2) for s in STEPS), None):  # a division's windows share half a window or more
         rows = _grouped(rows)
-        found.append(rows.where("copies > 1").select("text_key", "low", "high"))
+        found.append(rows.where("copies > 1 OR known").select("text_key", "low", "high"))
         several = rows.where("first AND variants > 1").withColumn("end", F.col("high") + length - 1)
         pieces = _texts_with(docs, several.where(f"variants <= {crowded}")).mapInArrow(
             _cut_bytes, "anchor bigint, content bigint, text_key bigint, low bigint, bytes binary")
