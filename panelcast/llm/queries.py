@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.llm.chat import render
 from panelcast.llm.decontaminate import find_matches
 from panelcast.llm.language import fit, predict
 from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.packing import pack_documents
+from panelcast.llm.quality import judge
 from panelcast.llm.registry import QUERIES, SQL, query  # noqa: F401
+from panelcast.llm.sharding import contiguous_shards, document_sizes
 from panelcast.llm.suffix_dedup import remove_repeats
 from panelcast.llm.tables import table
 
@@ -78,3 +81,65 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"))
     model = fit(docs.where("NOT held_out"))
     return predict(docs, model, keep=["doc_id", "held_out"]).select("row.*", "lang_pred", "score")
+
+
+CRC32 = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+    lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]))"""
+
+
+@query("op10_byte_balanced_shards", f"""
+WITH crc_table AS (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS e FROM range(256) r(i)),
+crc_list AS (SELECT list(e ORDER BY i) AS tab FROM crc_table),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, xor({CRC32}, 4294967295) AS text_crc32 FROM documents, crc_list),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, CAST(least(23, (24 * (2 * before + size)) // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard FROM s
+""")
+def byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = document_sizes(table(spark, sf_dir, "documents"), ["doc_id"])
+    return contiguous_shards(sizes, "size", ["doc_id", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_chat_formatting", """
+WITH c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS turns
+           FROM conversations GROUP BY conv_id),
+whole AS (SELECT turns, min(conv_id) AS conv_id FROM c GROUP BY turns),
+inner_part AS (SELECT DISTINCT turns[1 : k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM c))
+SELECT conv_id, 0 AS part, len(turns) AS n_turns,
+       array_to_string(list_transform(turns, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '') AS text
+FROM whole ANTI JOIN inner_part USING (turns)
+""")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(table(spark, sf_dir, "conversations"))
+
+
+@query("op5_adaptive_quality_rules", r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+b AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+      CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+      FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(word_chars AS DOUBLE) / n_words AS a,
+      CAST(n_symbols AS DOUBLE) / n_words AS s, CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS u,
+      CAST(n_repeat_words AS DOUBLE) / n_words AS r FROM b),
+q AS (SELECT lang, source, grouping(lang, source) AS id, count(*) AS n, quantile_disc(a, [0.25, 0.5, 0.75]) AS a,
+      quantile_disc(s, [0.25, 0.5, 0.75]) AS s, quantile_disc(u, [0.25, 0.5, 0.75]) AS u, quantile_disc(r, [0.25, 0.5, 0.75]) AS r
+      FROM f WHERE NOT base_failed GROUP BY ROLLUP (lang, source)),
+k AS (SELECT f.*, coalesce(q0.a, q1.a, q2.a) AS qa, coalesce(q0.s, q1.s, q2.s) AS qs, coalesce(q0.u, q1.u, q2.u) AS qu, coalesce(q0.r, q1.r, q2.r) AS qr
+      FROM f LEFT JOIN q q0 ON q0.id = 0 AND q0.n >= 100 AND q0.lang IS NOT DISTINCT FROM f.lang AND q0.source IS NOT DISTINCT FROM f.source
+      LEFT JOIN q q1 ON q1.id = 1 AND q1.n >= 100 AND q1.lang IS NOT DISTINCT FROM f.lang LEFT JOIN q q2 ON q2.id = 3)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(
+    a <= qa[2] + 6 * (qa[2] - qa[1]) + 1.0 AND a >= qa[2] - 6 * (qa[3] - qa[2]) - 1.0 AND s <= qs[2] + 6 * (qs[2] - qs[1]) + 0.2
+    AND u <= qu[2] + 6 * (qu[2] - qu[1]) + 0.2 AND r <= qr[2] + 6 * (qr[2] - qr[1]) + 0.15, false) AS kept
+FROM k
+""")
+def adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), ["doc_id"])
