@@ -24,7 +24,7 @@ FENCE = 6
 RULES = {
     "word_length": ("word_chars / n_words", 0, 1.0),
     "symbols": ("n_symbols / n_words", 1, 0.2),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 1, 0.2),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 1, 0.5),
     "repeats": ("n_repeat_words / n_words", 1, 0.15),
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.chat import render
 from panelcast.llm.decontaminate import find_matches
 from panelcast.llm.language import fit, predict
+from panelcast.llm.license_scan import NOTICES, scan, template_words
 from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.packing import pack_documents
 from panelcast.llm.quality import judge
@@ -138,8 +139,32 @@ k AS (SELECT f.*, coalesce(q0.a, q1.a, q2.a) AS qa, coalesce(q0.s, q1.s, q2.s) A
       LEFT JOIN q q1 ON q1.id = 1 AND q1.n >= 100 AND q1.lang IS NOT DISTINCT FROM f.lang LEFT JOIN q q2 ON q2.id = 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(
     a <= qa[2] + 6 * (qa[2] - qa[1]) + 1.0 AND a >= qa[2] - 6 * (qa[3] - qa[2]) - 1.0 AND s <= qs[2] + 6 * (qs[2] - qs[1]) + 0.2
-    AND u <= qu[2] + 6 * (qu[2] - qu[1]) + 0.2 AND r <= qr[2] + 6 * (qr[2] - qr[1]) + 0.15, false) AS kept
+    AND u <= qu[2] + 6 * (qu[2] - qu[1]) + 0.5 AND r <= qr[2] + 6 * (qr[2] - qr[1]) + 0.15, false) AS kept
 FROM k
 """)
 def adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def _license_sql() -> str:
+    values = ", ".join("('{}', '{}', {}, {})".format(k, " ".join(w), len(w), min(5, len(w)))
+                       for k, w in ((k, template_words(v)) for k, v in NOTICES.items()))
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {values}) v(license_id, words, n, size)),
+ts AS (SELECT DISTINCT license_id, n, size, array_to_string(string_split(words, ' ')[i : i + size - 1], ' ') AS g
+       FROM (SELECT *, unnest(range(1, n - size + 2)) AS i FROM t)),
+total AS (SELECT license_id, count(*) AS n_shingles FROM ts GROUP BY 1),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+(?:[.-][\p{{L}}\p{{N}}]+)*') AS w FROM documents),
+s AS (SELECT doc_id, size, i, array_to_string(w[i + 1 : i + size], ' ') AS g FROM (
+      SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM ts) WHERE len(w) >= size)),
+hit AS (SELECT DISTINCT doc_id, license_id, n, g, i FROM s JOIN ts USING (size, g)),
+win AS (SELECT doc_id, license_id, g, unnest(range(0, i + 1, (n + 1) // 2)) AS place, i, n FROM hit),
+inside AS (SELECT doc_id, license_id, place, count(DISTINCT g) AS n_found FROM win
+           WHERE i + least(5, n) <= place + n + (n + 1) // 2 - 1 GROUP BY ALL)
+SELECT doc_id, license_id, count(*) AS n_windows, any_value(n_shingles) AS n_shingles, max(n_found) AS n_found, min(place) AS first_word
+FROM inside JOIN total USING (license_id) WHERE 100 * n_found >= 80 * n_shingles GROUP BY doc_id, license_id"""
+
+
+@query("op3_license_scan", _license_sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
