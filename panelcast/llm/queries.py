@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.chat import render
 from panelcast.llm.decontaminate import find_matches
+from panelcast.llm.html_content import extract
 from panelcast.llm.language import fit, predict
 from panelcast.llm.license_scan import NOTICES, scan, template_words
 from panelcast.llm.ngram_join import similar_groups
@@ -168,3 +169,8 @@ FROM inside JOIN total USING (license_id) WHERE 100 * n_found >= 80 * n_shingles
 @query("op3_license_scan", _license_sql())
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
