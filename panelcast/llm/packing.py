@@ -5,14 +5,15 @@ partitions as their number needs. Each partition packs its items by best fit, la
 that are nearly full. Underfull bins go on as items to fewer partitions, in rounds, until one partition holds all or a
 round no longer gains anything. A partition holds a bounded number of items, whatever the input.
 
-White space ends every token, so a text's ids are those of its words between white space. Words are encoded once per
-slice, and a bounded cache keeps them for the next.
+White space ends every token, so a text's ids are those of its words between white space. Each different word of a
+slice is encoded once, and a bounded cache keeps it for the next slices.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,9 @@ from panelcast.llm.tables import stored
 CAPACITY = 2048
 SLACK = 16
 ITEMS = 40_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
+SLICE_BYTES = 6 << 20
+MARKS = set(".,;:!?")
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -46,25 +49,41 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
-def token_ids(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows one after the other, each row's followed by `end_id`, and the bounds of the rows."""
+def _plain(word: str) -> str:
+    """The word in lower case where that surely has the same ids: ASCII, and no special token."""
+    return word.lower() if word.isascii() and "<|" not in word else word
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """Pieces that the tokenizer always encodes apart: letters, and a punctuation mark after them."""
+    return (word[:-1], word[-1]) if word[-1:] in MARKS and word[:-1].isalpha() else (word,)
+
+
+def word_ids(distinct: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after the other, and how many each has."""
     tokenizer, cache = _tokenizer(path)
-    split = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
-    coded = split.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    new = [w for w in distinct if w not in cache]
+    words = [_plain(w) for w in distinct]
+    new = list({part for w in words if w not in cache for part in _parts(w)} - cache.keys())
     if len(cache) + len(new) > CACHED_WORDS:
         cache.clear()
-        new = distinct
+        new = list({part for w in words for part in _parts(w)})
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
         for word, encoded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[word] = np.array(encoded.ids, np.uint32)
-    ids = [cache[w] for w in distinct] + [np.array([end_id], np.uint32)]
-    sizes = np.array([len(x) for x in ids])
-    flat, starts = np.concatenate(ids), np.cumsum(sizes) - sizes
+            cache[word] = array("I", encoded.ids).tobytes()
+    raw = [cache[w] if w in cache else b"".join(cache[p] for p in _parts(w)) for w in words]
+    return np.frombuffer(b"".join(raw), np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+
+def token_ids(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after the other, each row's followed by `end_id`, and the bounds of the rows."""
+    split = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    flat, sizes = word_ids(coded.dictionary.to_pylist(), path)
+    flat, sizes = np.append(flat, np.uint32(end_id)), np.append(sizes, 1)
+    starts = np.cumsum(sizes) - sizes
     bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-    words = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds[1:], len(distinct))
+    words = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds[1:], len(sizes) - 1)
     bounds = bounds + np.arange(len(bounds))
     lengths = sizes[words]
     ends = np.cumsum(lengths)
@@ -75,7 +94,7 @@ def token_ids(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        for part in tx.slices(batches, "text"):
+        for part in tx.slices(batches, "text", SLICE_BYTES):
             ids, bounds = token_ids(part.column("text"), path, end_id)
             raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             row, piece, start, length, crc = [], [], [], [], []
