@@ -17,6 +17,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.llm.tables import stored
+
 
 WORDS = 5
 PERCENT = 80
@@ -85,8 +87,8 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, doc_id: str = "
     # a word's letters must be in the text, so a text without them is safely left out
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), lower.alias("_text")).where(
         F.col("_text").rlike("|".join(re.escape(k) for k in keys)))
-    rows = rows.select("doc_id", F.xxhash64("_text").alias("text_key"),
-                       F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("words"))
+    rows = stored(rows.select("doc_id", F.xxhash64("_text").alias("text_key"),
+                              F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("words")))
     key_list = "array(" + ", ".join(f"'{k}'" for k in keys) + ")"
     found = []
     for length in sorted({len(w) for w in by_id.values()}):
