@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.tables import stored
 
-
 WORDS = 5
 PERCENT = 80
 BANDS = 32
