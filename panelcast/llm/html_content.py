@@ -112,9 +112,14 @@ def tokens(page: str):
         if closing:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
+                closed_aside = stack[depth][1]
                 for _, aside in stack[depth:]:
                     left_out -= aside
                 del stack[depth:]
+                if closed_aside:  # a part left out costs nothing, but still separates blocks
+                    if not left_out and name not in INLINE:
+                        yield "space", "", "", False
+                    continue
         else:
             ends = _closed_by(name)
             while ends and any(n in ends for n, _ in stack):
@@ -127,7 +132,6 @@ def tokens(page: str):
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
-                yield "break", name, "", False
                 continue
             if name not in VOID and not attributes.rstrip().endswith("/"):
                 aside = _is_aside(name, attributes, any(n in CONTAINER for n, _ in stack))
