@@ -85,10 +85,17 @@ def ar_ridge_fit(df: DataFrame, spec: ARSpec = ARSpec(), panel: Panel = PANEL) -
     lagged = lagged.select(*keys, "_v", *_lag_names(spec)).dropna()
     if spec.p <= 2:
         return _closed_form(lagged, spec, keys)
-    arrays = lagged.select(*keys, F.array(*_lag_names(spec)).alias("x"), F.array("_v").alias("y"))
-    solved = solve_ridge(gram(arrays, keys), keys, spec.alpha)
-    return solved.select(*keys, F.col("coefs")[0]["intercept"].alias("intercept"),
-                         F.col("coefs")[0]["weights"].alias("weights"))
+    # products of values far from zero lose digits: sum them about the series mean, then move the intercept back
+    means = lagged.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.avg("_v").alias("_mean"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    shifted = lagged.join(means, same).select(
+        *keys, F.array(*[F.col(a) - F.col("_mean") for a in _lag_names(spec)]).alias("x"),
+        F.array(F.col("_v") - F.col("_mean")).alias("y"))
+    solved = solve_ridge(gram(shifted, keys), keys, spec.alpha)
+    solved = solved.select(*keys, F.col("coefs")[0]["intercept"].alias("_b"), F.col("coefs")[0]["weights"].alias("weights"))
+    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
+    return solved.join(means, same).select(
+        *keys, (F.col("_b") + F.col("_mean") * (1 - total)).alias("intercept"), "weights")
 
 
 def _predicted(df: DataFrame, coef: DataFrame, spec: ARSpec, ranges: DataFrame | None, panel: Panel,

@@ -36,6 +36,7 @@ def gram(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> Da
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, tuple[int, np.ndarray]] = {}
+        size = 0
 
         def emit() -> pd.DataFrame:
             out = pd.DataFrame(list(held), columns=keys)
@@ -44,7 +45,7 @@ def gram(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> Da
             return out
 
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
+            for key, part in batch.groupby(keys, sort=False, dropna=False):
                 xs, ys = np.stack(part["x"].to_numpy()), np.stack(part["y"].to_numpy())
                 z = np.hstack([np.ones((len(part), 1)), xs, ys])
                 g = z.T @ z
@@ -52,9 +53,11 @@ def gram(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> Da
                     held[key][1].__iadd__(g)
                 else:
                     held[key] = (xs.shape[1], g)
-            if sum(g.size for _, g in held.values()) > CELLS_HELD:
-                yield emit()
-                held.clear()
+                    size += g.size
+                if size > CELLS_HELD:
+                    yield emit()
+                    held.clear()
+                    size = 0
         if held:
             yield emit()
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import dot, safe_ln, scale_to_one
@@ -40,7 +40,9 @@ def members(neighborhood: DataFrame) -> DataFrame:
 def to_matrix(rows: DataFrame, neighborhood: DataFrame, fill: float | None = None, time: str = "ts",
               value: str = "value") -> DataFrame:
     """``(center, ts, values)``; hours that lack a member are dropped, or filled with ``fill``."""
-    cells = rows.groupBy("center", time).agg(
+    # a repeated hour is averaged; both groupings share the one shuffle
+    once = rows.repartition("center", time).groupBy("center", time, "node").agg(F.avg(value).alias(value))
+    cells = once.groupBy("center", time).agg(
         F.map_from_entries(F.collect_list(F.struct("node", value))).alias("_cells"))
     placed = cells.join(members(neighborhood), "center")
     values = F.transform("members", lambda m: F.element_at("_cells", m))
@@ -87,11 +89,21 @@ def _lagged(matrix: DataFrame, spec: VARSpec, panel: Panel) -> DataFrame:
         "rows", F.col("n") - first - (spec.horizon - 1))
 
 
+def _complete() -> Column:
+    return ~(F.exists("x", lambda v: v.isNull()) | F.exists("y", lambda v: v.isNull()))
+
+
+def incomplete_rows(matrix: DataFrame, spec: VARSpec = VARSpec(), panel: Panel = MATRIX) -> DataFrame:
+    """``(center, incomplete)``: training rows that a fit leaves out, because a lag or target is NULL."""
+    rows = _lagged(matrix, spec, panel).filter(F.col("row") <= train_stop(spec.train_fraction, F.col("rows")))
+    return rows.groupBy(*panel.keys).agg(F.count_if(~_complete()).alias("incomplete"))
+
+
 def var_ridge_fit(matrix: DataFrame, spec: VARSpec = VARSpec(), panel: Panel = MATRIX) -> DataFrame:
-    """``(center, coefs)`` from the first ``train_fraction`` of the lag rows."""
+    """``(center, coefs)`` from the first ``train_fraction`` of the lag rows, without those that hold a NULL."""
     keys = list(panel.keys)
     rows = _lagged(matrix, spec, panel)
-    train = rows.filter(F.col("row") <= train_stop(spec.train_fraction, F.col("rows")))
+    train = rows.filter((F.col("row") <= train_stop(spec.train_fraction, F.col("rows"))) & _complete())
     if spec.log_difference:
         return solve_ridge(gram(train, keys), keys, spec.alpha)
     # centre before products are summed, then undo the shift in the intercept

@@ -42,14 +42,18 @@ def select_nodes(df: DataFrame, nodes: str | Sequence[str], node: str = "node")
     return df.filter(F.col(node).isin(names))
 
 
-def between_exclusive(df: DataFrame, start: str | dt.date, end: str | dt.date, on: str = "delivery_date") -> DataFrame:
+def between_exclusive(df: DataFrame, start: str | dt.date, end: str | dt.date, on: str = "delivery_date",
+                      hour_ending: bool = False) -> DataFrame:
     """Rows dated strictly after ``start`` and strictly before ``end`` (dates, padded or not).
 
-    On a timestamp column every hour of either date is left out; the bounds are written
-    as plain comparisons so that they reach the scan.
+    On a timestamp column every hour of either date is left out; with ``hour_ending`` a
+    timestamp is the end of its hour, so midnight belongs to the day before. The bounds
+    are written as plain comparisons so that they reach the scan.
     """
     kind = df.schema[on].dataType
     first = F.date_add(F.lit(str(start)).cast("date"), 1).cast(kind)
+    if hour_ending:
+        return df.filter((F.col(on) > first) & (F.col(on) <= F.lit(str(end)).cast("date").cast(kind)))
     return df.filter((F.col(on) >= first) & (F.col(on) < F.lit(str(end)).cast("date").cast(kind)))
 
 

@@ -20,13 +20,15 @@ CALENDAR = ("hour", "month", "weekday")
 
 
 def query_prices(df: DataFrame, nodes: str | Sequence[str], start: str, end: str, shards: DataFrame | None = None,
-                 panel: Panel = PANEL) -> DataFrame:
-    """Named series strictly between two dates, NULL prices as zero.
+                 panel: Panel = PANEL, hour_ending: bool = False) -> DataFrame:
+    """Named series strictly between two delivery dates, NULL prices as zero.
+
+    Set ``hour_ending`` for panels made from labels 1 to 24, whose hour 24 is midnight of the next day.
 
     With ``shards`` only hours for which every shard has a row are kept, as an inner
     join of all shard tables would.
     """
-    ranged = between_exclusive(df, start, end, on=panel.time)
+    ranged = between_exclusive(df, start, end, on=panel.time, hour_ending=hour_ending)
     if shards is not None:
         ranged = complete_hours(ranged, shards, panel.keys[0], panel.time)
     return fill_null(select_nodes(ranged, nodes, panel.keys[0]), 0.0, panel.value)

@@ -10,7 +10,7 @@ from panelcast.plans.datasets import neighborhood_matrix, query_prices, train_te
 from panelcast.sources.writers import materialize_splits
 from suite.registry import query
 from suite.tables import (EDGES, EV, EVENT_TYPES, LAB, LABELS, LI, MONTHLY, ORD, edges, events_hourly, label_catalog,
-                          label_monthly, priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily, supplier_names)
+                          label_monthly, priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily, supplier_names, table)
 
 _SHARDS = """SELECT node, (row_number() OVER (ORDER BY node) - 1) // {size} AS shard
   FROM (SELECT DISTINCT series_id AS node FROM ({panel}))"""
@@ -83,6 +83,19 @@ def query_prices_between(spark, sf_dir):
     return rows.select("series_id", stamp("ts").alias("ts"), r("value").alias("value"))
 
 
+@query("query_prices_hour_ending", f"""
+  SELECT event_type AS series_id, {sql_stamp("date_trunc('hour', ts) + INTERVAL 1 HOUR")} AS ts, {sql_r('avg(value)')} AS value
+  FROM events WHERE event_type IN ('click', 'view') AND CAST(ts AS DATE) > DATE '2024-01-03' AND CAST(ts AS DATE) < DATE '2024-01-25'
+  GROUP BY event_type, date_trunc('hour', ts)""")
+def query_prices_hour_ending(spark, sf_dir):
+    """Delivery date and labels 1 to 24, as the price reader gives them."""
+    events = table(spark, sf_dir, "events")
+    raw = events.select(F.to_date("ts").alias("delivery_date"), (F.hour("ts") + 1).alias("hour_ending"),
+                        F.col("event_type").alias("node"), F.col("value").alias("price"))
+    rows = query_prices(R.to_panel(raw), ["click", "view"], "2024-1-3", "2024-1-25", hour_ending=True)
+    return rows.select("series_id", stamp("ts").alias("ts"), r("value").alias("value"))
+
+
 @query("complete_panel", f"""
   WITH p AS ({LI}), s AS ({_LI_SHARDS}),
   hours AS (SELECT DISTINCT ts, shard FROM p JOIN s ON series_id = node)
