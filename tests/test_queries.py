@@ -6,11 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_point
 from check import compare
+from suite import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
 # pooled trees and 25-member regressions have no exact SQL; their parts are tested against numpy
 ROWS_ONLY = {"nonlinear_forecast", "seed_report", "var_scores_neighborhoods"}
 PYTHON = {"ar_fit_five_lags", "ar_scores_five_lags", "lag_gram", "score_windows", "var_forecast_pair",
