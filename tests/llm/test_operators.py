@@ -351,3 +351,18 @@ def test_contiguous_shards(spark):
     first = sizes.join(frame(spark, texts).selectExpr("doc_id AS d", "text").where("d = 0"), F.col("text_crc32") == F.crc32("text")).first()
     assert first.text_crc32 == zlib.crc32(texts[0].encode())
     assert sharding.contiguous_shards(sizes.where("false"), "size", ["doc_id"]).count() == 0
+
+
+def test_signature_never_understates_the_common_shingles(spark):
+    """The bitmap bound that stands before the exact overlap must let every pair through that the overlap would."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(-(1 << 62), 1 << 62, 900)
+    sets = {k: set(rng.choice(pool, size, replace=False).tolist()) for k, size in enumerate((1, 3, 40, 200, 700, 900))}
+    rows = spark.createDataFrame([(k, g) for k, s in sets.items() for g in s], "node int, gram bigint")
+    signed = rows.groupBy("node").agg(F.count("*").alias("open"), *ngram_join._sign())
+    side = F.struct("node", "open", *ngram_join.SIGN)
+    met = signed.select(side.alias("h")).crossJoin(signed.select(side.alias("x")))
+    got = met.selectExpr("h.node AS a", "x.node AS b", f"{ngram_join._common('h', 'x')} AS most").collect()
+    assert len(got) == len(sets) ** 2
+    assert all(r["most"] >= len(sets[r["a"]] & sets[r["b"]]) for r in got)
+    assert all(r["most"] == len(sets[r["a"]]) for r in got if r["a"] == r["b"])
