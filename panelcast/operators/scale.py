@@ -27,7 +27,7 @@ def minmax_stats(df: DataFrame, upper: str = "global_max", by: Sequence[str] | N
     if upper != "global_max":
         raise ValueError(f"unknown upper bound {upper!r}")
     if by is None:
-        return stats.withColumn("upper", df.select(F.max(panel.value)).scalar())
+        return stats.withColumn("upper", stats.select(F.max("high")).scalar())
     if tuple(by) == tuple(panel.keys):
         return stats.withColumn("upper", F.col("high"))
     top = stats.groupBy(*by).agg(F.max("high").alias("upper"))

@@ -316,7 +316,7 @@ def score_windows_query(spark, sf_dir):
 @query("nonlinear_forecast")
 def nonlinear_forecast(spark, sf_dir):
     diffs = SC.scale_log_difference(events_hourly(spark, sf_dir), by=HOURLY.keys, panel=HOURLY)
-    pred = nonlinear_ar(diffs, look_back=4, seed=7, max_iter=5, panel=HOURLY)
+    pred = nonlinear_ar(diffs, look_back=4, seed=7, panel=HOURLY)
     return pred.select("series_id", stamp("ts").alias("ts"), r("predicted").alias("predicted"), r("actual").alias("actual"))
 
 
@@ -400,5 +400,5 @@ def evaluation_report(spark, sf_dir):
 @query("seed_report")
 def seed_report(spark, sf_dir):
     diffs = SC.scale_log_difference(events_hourly(spark, sf_dir), by=HOURLY.keys, panel=HOURLY)
-    runs = evaluate_seeds(diffs, look_back=3, seeds=[11, 12], panel=HOURLY)
+    runs = evaluate_seeds(diffs, look_back=3, seeds=list(range(1, 11)), panel=HOURLY)
     return M.metrics_report(runs, by=("series_id", "type"))
