@@ -125,6 +125,7 @@ def _hit_words(matches: list[dict]) -> int:
 def _scan(tests: TestSuffixes, first_block: bool, keep: list[str], text: str):
     """Adds the matches of one block of items to each row."""
 
+    @tx.tidy
     def run(batches):
         for part in tx.slices(batches, text):
             hashes, first = tx.words(*tx.byte_buffer(part.column(text)), tx.ALNUM)
@@ -174,7 +175,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit word, with their own columns."""
-    names = docs.columns
-    marked = find_matches(docs.select(F.struct(*names).alias("row"), F.col(options.pop("text", "text")).alias("text")),
-                          benchmark, keep=["row"], **options)
-    return marked.where(~F.col("contaminated")).select("row.*")
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # clashes with no result column
+    names = dict(zip(docs.columns, plain))
+    marked = find_matches(docs.toDF(*plain), benchmark, names[options.pop("text", "text")], keep=plain, **options)
+    return marked.where(~F.col("contaminated")).select(*(F.col(c).alias(name) for name, c in names.items()))

@@ -24,6 +24,7 @@ SIZE = 1024
 ROWS_PER_LANGUAGE = 10_000
 MAX_LANGUAGES = 4096
 SLICE_ROWS = 256
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
 
@@ -83,11 +84,12 @@ def profiles(texts: list[str | None]) -> np.ndarray:
 
 
 def _row_slices(batches, column: str):
-    for part in tx.slices(batches, column):
+    for part in tx.slices(batches, column, SLICE_BYTES):
         for at in range(0, part.num_rows, SLICE_ROWS):
             yield part.slice(at, SLICE_ROWS)
 
 
+@tx.tidy
 def _bundle(batches):
     sums: dict[str, np.ndarray] = {}
     for part in _row_slices(batches, "text"):
@@ -126,10 +128,11 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
     return [langs[k] for k in kept], (prototypes[kept] / norm[kept]).astype(np.float32)
 
 
-def _predict(langs: list[str], prototypes: np.ndarray, text: str):
+def _predict(langs: list[str], prototypes: np.ndarray, own: str | None):
+    @tx.tidy
     def run(batches):
-        for part in _row_slices(batches, text):
-            vectors = profiles(part.column(text).to_pylist())
+        for part in _row_slices(batches if own is None else tx.own_text(batches, own), "text"):
+            vectors = profiles(part.column("text").to_pylist())
             cosine = vectors @ prototypes.T if langs else np.zeros((part.num_rows, 1))
             best = cosine.argmax(axis=1)
             known = vectors.any(axis=1) & bool(langs)
@@ -146,6 +149,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     Defined results: null texts and texts without letters, or any text when nothing was learned, are `und` with score
     0; of equal cosines the first language by name wins; whole texts are read, of any length.
     """
-    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(_predict(*model, "text"),
+    keep = keep or docs.columns
+    own = text if text in keep else None
+    rows = docs.select(F.struct(*keep).alias("row"), *([] if own else [F.col(text).alias("text")]))
+    return rows.mapInArrow(_predict(*model, own),
                            f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")

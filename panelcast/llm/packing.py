@@ -30,7 +30,7 @@ CAPACITY = 2048
 SLACK = 16
 ITEMS = 40_000
 CACHED_WORDS = 800_000
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 MARKS = set(".,;:!?")
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -93,6 +93,7 @@ def token_ids(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.
 
 
 def _pieces(path: str, capacity: int, end_id: int):
+    @tx.tidy
     def run(batches):
         for part in tx.slices(batches, "text", SLICE_BYTES):
             ids, bounds = token_ids(part.column("text"), path, end_id)
@@ -146,6 +147,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def _pack(capacity: int, slack: int, round_number: int):
     """Packs the items (size, members) of a partition into bins of the same form."""
 
+    @tx.tidy
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:

@@ -80,6 +80,7 @@ def _candidates(length: int, anchor: int):
     own, so that a common passage does not send all its rows to one task.
     """
 
+    @tx.tidy
     def run(batches):
         seen: set[int] = set()
         met: dict[int, int] = {}
@@ -214,6 +215,7 @@ def _sorted_groups(length: int):
             at += count
         return _batch(out, SPAN)
 
+    @tx.tidy
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
@@ -236,6 +238,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+@tx.tidy
 def _cut_bytes(batches):
     """The bytes of the chunks listed for each text."""
     for batch in batches:
@@ -250,6 +253,7 @@ def _divide(step: int, length: int):
     All windows of a division hold the bytes from the division's last start to its first end; the key is their hash.
     """
 
+    @tx.tidy
     def run(batches):
         for batch in batches:
             for text, key, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "text_key", "wanted"))):
@@ -311,14 +315,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     return out
 
 
-def _cut(length: int):
+def _cut(length: int, own: str):
     """Bytes left of each text, as text without characters that lost bytes, and what was removed."""
 
+    @tx.tidy
     def run(batches):
-        for batch in batches:
+        for batch in tx.own_text(batches, own):
             kept, removed, spans = [], [], []
             for text, windows in zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist()):
-                data, at, parts, stretches, end = text.encode(), 0, [], 0, -1
+                data, at, parts, stretches, end = (text or "").encode(), 0, [], 0, -1
                 for w in sorted(windows or [], key=lambda w: w["low"]):
                     low, high = w["low"], w["high"] + length - 1
                     if low > end:
@@ -355,8 +360,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, an
     whole = marked.where("NOT _maybe").select("row", F.encode("text", "UTF-8").alias("kept"),
                                               F.col("text").alias("kept_text"), zero.alias("n_removed"), zero.alias("n_spans"))
     row_type = docs.schema["row"].dataType.simpleString()
-    cut = marked.where("_maybe").select("row", "text", "text_key").join(windows, "text_key", "left").select(
-        "row", "text", "windows").mapInArrow(_cut(length), f"row {row_type}, kept binary, kept_text string, n_removed bigint, n_spans bigint")
+    cut = marked.where("_maybe").select("row", "text_key").join(windows, "text_key", "left").select(
+        "row", "windows").mapInArrow(_cut(length, text), f"row {row_type}, kept binary, kept_text string, n_removed bigint, n_spans bigint")
     out = whole.union(cut)
     return out.select("row", "kept", "kept_text", (F.octet_length("kept") + F.col("n_removed")).cast("bigint").alias("n_bytes"),
                       "n_removed", "n_spans")

@@ -7,8 +7,9 @@ only if two different strings collide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,25 @@ def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(room, int(BASE)), _powers(room, int(INVERSE))
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The kernel, giving back the memory of its slices when its task ends.
+
+    Spark keeps a Python worker for later tasks, so what the allocators hold on to would add up over the stages of a job.
+    """
+
+    @wraps(kernel)
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            _powers.cache_clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+    return run
+
+
 class Prefix:
     """Running hash of `values`, one 64-bit value per byte."""
 
@@ -78,6 +98,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def own_text(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches of struct `row` with the field `text` of it as a column `text`, so that no second copy is sent."""
+    for batch in batches:
+        row = batch.column("row")
+        others = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), row.field(text)], names=[*others, "text"])
+
+
 def alphabet(word_bytes: np.ndarray) -> np.ndarray:
     """Hash value of each byte, A-Z as a-z, 0 for bytes that are not in words."""
     fold = np.arange(256)
