@@ -57,6 +57,8 @@ def _bucket_of(ticks: Column, width: int) -> Column:
 def measure_bucket(df: DataFrame, panel: Panel = PANEL) -> int | None:
     """A bucket width whose fullest (series, bucket) fits one task; None = whole series fit.
 
+    The finest width is taken where no width fits: rows of one series at one time are then one group, whose sort spills.
+
     The longest series' size and time span suggest the width, an exact count confirms
     it. Every probe is a count with map-side combine that returns one row.
     """
@@ -71,9 +73,8 @@ def measure_bucket(df: DataFrame, panel: Panel = PANEL) -> int | None:
             continue
         counts = timed.groupBy(*panel.keys, _bucket_of(F.col("_t"), width).alias(_BUCKET)).agg(
             F.count(F.lit(1)).alias("rows"))
-        if counts.agg(F.max("rows")).first()[0] <= panel.rows_per_task:
+        if width == BUCKET_TICKS[-1] or counts.agg(F.max("rows")).first()[0] <= panel.rows_per_task:
             return width
-    raise ValueError(f"more than {panel.rows_per_task} rows of one series share a time; it must be unique")
 
 
 def index_panel(df: DataFrame, panel: Panel = PANEL, bucket_ticks: int | None = None) -> DataFrame:
@@ -89,11 +90,11 @@ def index_panel(df: DataFrame, panel: Panel = PANEL, bucket_ticks: int | None =
         bucket_ticks = measure_bucket(df, panel)
     if bucket_ticks is None:
         w = Window.partitionBy(*keys)
-        return df.withColumn("pos", F.row_number().over(w.orderBy(panel.time)).cast("long")).withColumn(
+        return df.withColumn("pos", F.row_number().over(w.orderBy(*panel.order)).cast("long")).withColumn(
             "n", F.count(F.lit(1)).over(w))
     bucketed = df.withColumn(_BUCKET, _bucket_of(clock_ticks(df, panel.time), bucket_ticks))
     starts = _bucket_starts(bucketed, keys, bucket_ticks)
-    local = Window.partitionBy(*keys, _BUCKET).orderBy(panel.time)
+    local = Window.partitionBy(*keys, _BUCKET).orderBy(*panel.order)
     numbered = bucketed.withColumn("_local", F.row_number().over(local))
     return (numbered.join(starts, [*keys, _BUCKET])
             .withColumn("pos", F.col("_start") + F.col("_local"))
@@ -127,12 +128,12 @@ def windowed(df: DataFrame, panel: Panel = PANEL, before: int = 0, after: int =
     """
     ix = index_panel(df, panel)
     if panel.bounded:
-        return ix, Window.partitionBy(*panel.keys).orderBy(panel.time)
+        return ix, Window.partitionBy(*panel.keys).orderBy("pos" if panel.ties else panel.time)
     first = F.floor((F.greatest(F.col("pos") - after, F.lit(1)) - 1) / panel.block_rows)
     last = F.floor((F.least(F.col("pos") + before, F.col("n")) - 1) / panel.block_rows)
     home = F.floor((F.col("pos") - 1) / panel.block_rows)
     blocks = ix.withColumn(_BLOCK, F.explode(F.sequence(first, last))).withColumn(_CORE, F.col(_BLOCK) == home)
-    return blocks, Window.partitionBy(*panel.keys, _BLOCK).orderBy(panel.time)
+    return blocks, Window.partitionBy(*panel.keys, _BLOCK).orderBy("pos")
 
 
 def core(df: DataFrame) -> DataFrame:

@@ -145,15 +145,19 @@ def complete_panel(df: DataFrame, shards: DataFrame, series: str = "series_id",
                    value: str = "value") -> DataFrame:
     """Adds NULL cells so that every hour a shard has any row for lists all nodes of the shard.
 
-    The grid is made from ``(hour, shard)`` pairs and the shard's own name list, which
-    the shard size bounds, so no product of all hours and all names is joined; grid and
-    panel then meet on the unique ``(node, hour)``, a key that cannot be skewed.
+    The panel is read and grouped once, by ``(shard, hour)``. A group is no longer than the shard, whose name list
+    then tells which cells are absent. Rows of nodes outside the shards are left out; a repeated cell stays repeated.
     """
-    member = shards.withColumnRenamed("node", series)
-    tagged = df.join(member, series)
-    hours = tagged.select(time, "shard").distinct()
-    grid = hours.join(shard_map(shards), "shard").select(time, F.explode("nodes").alias(series))
-    return grid.join(df.select(series, time, value), [series, time], "left").select(series, time, value)
+    cells = _full_cells(df, shards, series, time, value).select(time, F.explode("cells").alias("_cell"))
+    return cells.select(F.col("_cell.node").alias(series), time, F.col("_cell.price").alias(value))
+
+
+def _full_cells(df: DataFrame, shards: DataFrame, series: str, time: str, value: str) -> DataFrame:
+    """``(shard, ts, cells)``: the ``(node, price)`` pairs of every hour of a shard, absent nodes with a NULL price."""
+    given = collect_hour(df.select(series, time, value), series, time, value, shards)
+    absent = F.transform(F.array_except("nodes", F.col("cells.node")), lambda name: F.struct(
+        name.alias("node"), F.lit(None).cast(df.schema[value].dataType).alias("price")))
+    return given.join(shard_map(shards), "shard").select("shard", time, F.concat("cells", absent).alias("cells"))
 
 
 def complete_hours(df: DataFrame, shards: DataFrame, series: str = "series_id", time: str = "ts") -> DataFrame:
@@ -204,8 +208,7 @@ def wide_shard_lines(df: DataFrame, shards: DataFrame, series: str = "series_id"
     A line lists the hour and the prices of the shard's nodes in name order, missing
     ones as ``null_text``; it is never longer than the shard size.
     """
-    full = complete_panel(df, shards, series, time, value)
-    cells = collect_hour(full, series, time, value, shards)
-    texts = F.transform("cells", lambda c: F.coalesce(c["price"].cast("string"), F.lit(null_text)))
+    cells = _full_cells(df, shards, series, time, value)
+    texts = F.transform(F.sort_array("cells"), lambda c: F.coalesce(c["price"].cast("string"), F.lit(null_text)))
     hour = F.date_format(time, "yyyy-MM-dd,HH:mm")
     return cells.select("shard", time, F.concat_ws(",", hour, F.array_join(texts, ",")).alias("line"))

@@ -163,15 +163,16 @@ def calendar_features(df: DataFrame, time: str = "ts") -> DataFrame:
 def autocorrelation(df: DataFrame, max_lag: int = 24, panel: Panel = PANEL) -> DataFrame:
     """``(keys, lag, r)`` for lags ``1..max_lag-1``: Pearson r of the overlapping pairs.
 
-    One windowed scan yields all lags; each task reduces its pairs to one partial
-    correlation per series and lag before anything is shuffled.
+    One windowed scan yields all lags; each task reduces its rows to one partial
+    correlation per series and lag before anything is shuffled. No row is multiplied.
     """
     lags = range(1, max_lag)
     rows, w = windowed(df, panel, before=max_lag - 1)
     x = F.col(panel.value)
-    lagged = core(rows.select("*", F.array(*[F.lag(x, k).over(w) for k in lags]).alias("_lags")))
-    pairs = lagged.select(*panel.keys, panel.value, F.posexplode("_lags").alias("_k", "_past"))
-    return pairs.groupBy(*panel.keys, (F.col("_k") + 1).alias("lag")).agg(F.corr(panel.value, "_past").alias("r"))
+    lagged = core(rows.select("*", *[F.lag(x, k).over(w).alias(f"_past_{k}") for k in lags]))
+    found = lagged.groupBy(*panel.keys).agg(F.array(*[F.corr(panel.value, f"_past_{k}") for k in lags]).alias("_r"))
+    return found.select(*panel.keys, F.posexplode("_r").alias("_k", "r")).select(
+        *panel.keys, (F.col("_k") + 1).alias("lag"), "r")
 
 
 def companded_histogram(df: DataFrame, channels: int = 256, panel: Panel = PANEL) -> DataFrame:

@@ -11,7 +11,9 @@ BOUNDED_STEP_SECONDS = 3600
 
 @dataclass(frozen=True)
 class Panel:
-    """Names the columns of a panel; ``(keys, time)`` must be unique and not null.
+    """Names the columns of a panel; ``(keys, time, ties)`` must be unique, and ``(keys, time)`` not null.
+
+    ``ties`` orders the rows of one series at one time.
 
     ``step`` is the grid step in seconds when timestamps lie on a regular grid.
     It is what proves a bound on rows per series; leave it ``None`` for raw,
@@ -26,6 +28,11 @@ class Panel:
     step: int | None = None
     rows_per_task: int = 1_000_000
     block_rows: int = 100_000
+    ties: tuple[str, ...] = ()
+
+    @property
+    def order(self) -> tuple[str, ...]:
+        return (self.time, *self.ties)
 
     @property
     def bounded(self) -> bool:

@@ -13,8 +13,6 @@ from suite.registry import query
 from suite.tables import (EV, EVENT_TYPES, LABELS, LI, LOAD, ORD, events_hourly, load_hours, part_labels,
                           priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily, supplier_names, table)
 
-_NAMES = ", ".join(f"'{n}'" for n in EVENT_TYPES)
-
 
 def _hour_label(df: DataFrame) -> DataFrame:
     """Timestamps as date plus hour-ending label 1..24 (midnight closes the day before)."""
@@ -76,9 +74,14 @@ def node_catalog(spark, sf_dir):
     return R.node_catalog(supplier_daily(spark, sf_dir), R.HUB_ZONE_NODES)
 
 
-@query("wide_catalog", f"SELECT DISTINCT event_type AS node, 'node' AS kind FROM events WHERE event_type IN ({_NAMES})")
+@query("wide_catalog", "SELECT DISTINCT event_type AS node, 'node' AS kind FROM events")
 def wide_catalog(spark, sf_dir):
-    return R.wide_catalog(R.pivot_prices(events_hourly(spark, sf_dir), EVENT_TYPES), ("ts",))
+    """The columns of a stored wide table, which were made from the names in the data."""
+    panel = events_hourly(spark, sf_dir)
+    names = [row["node"] for row in R.node_catalog(panel).collect()]  # they become columns
+    path = scratch(spark, "wide_table")
+    R.pivot_prices(panel, names).write.parquet(path)
+    return R.wide_catalog(spark.read.parquet(path), ("ts",))
 
 
 @query("catalog_file", f"SELECT DISTINCT label AS node FROM ({LABELS})")
@@ -137,15 +140,16 @@ def shard_lists(spark, sf_dir):
 
 
 @query("shard_map_json", f"""
-  SELECT 'table' || shard AS tab, count(*) AS n FROM (
-    SELECT (row_number() OVER (ORDER BY label) - 1) // 40 AS shard FROM (SELECT DISTINCT label FROM ({LABELS})))
+  SELECT 'table' || shard AS tab, count(*) AS n, string_agg(label, ',' ORDER BY label) AS nodes FROM (
+    SELECT label, (row_number() OVER (ORDER BY label) - 1) // 40 AS shard FROM (SELECT DISTINCT label FROM ({LABELS})))
   GROUP BY shard""")
 def shard_map_json(spark, sf_dir):
     names = part_labels(spark, sf_dir).select(F.col("label").alias("node")).distinct()
     path = scratch(spark, "shards")
     writers.write_shard_map(R.assign_shards(names, 40), path)
     parsed = spark.read.text(path).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    return parsed.select(F.explode("m").alias("tab", "nodes")).select("tab", F.size("nodes").cast("bigint").alias("n"))
+    return parsed.select(F.explode("m").alias("tab", "nodes")).select(
+        "tab", F.size("nodes").cast("bigint").alias("n"), F.array_join("nodes", ",").alias("nodes"))
 
 
 @query("select_nodes", f"""

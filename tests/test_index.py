@@ -57,8 +57,16 @@ def test_a_crowded_second_is_cut_finer(spark):
     assert measure_bucket(df, panel) == 10
     got = [(r.pos, r.n) for r in index_panel(df, panel).filter("series_id = 'a'").orderBy("ts").collect()]
     assert got == [(i + 1, 30) for i in range(30)]
-    with pytest.raises(ValueError, match="share a time"):
-        measure_bucket(df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), panel)
+
+
+@pytest.mark.parametrize("panel", [Panel(rows_per_task=10, block_rows=7, ties=("tie",)), Panel(step=3600, ties=("tie",))])
+def test_rows_at_one_time_are_ordered_by_their_ties(spark, panel):
+    rows = [("a", dt.datetime(2024, 1, 1), (i * 17) % 40, float((i * 17) % 40)) for i in range(40)] + [("a", dt.datetime(2023, 1, 1), 9, -1.0)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, tie int, value double").repartition(5)
+    got = [r.value for r in index_panel(df, panel).orderBy("pos").collect()]
+    assert got == [-1.0, *map(float, range(40))]
+    steps = [r.value for r in S.difference(df, 1, panel).orderBy("pos").collect()]
+    assert steps == [1.0] * 40
 
 
 @pytest.mark.parametrize("kind, sql, want", [
