@@ -366,3 +366,22 @@ def test_signature_never_understates_the_common_shingles(spark):
     assert len(got) == len(sets) ** 2
     assert all(r["most"] >= len(sets[r["a"]] & sets[r["b"]]) for r in got)
     assert all(r["most"] == len(sets[r["a"]]) for r in got if r["a"] == r["b"])
+
+
+def test_license_scan_finds_texts_headers_and_wordings(spark):
+    read = {p.stem: p.read_text(encoding="utf-8") for p in license_scan.TEXTS.glob("*.txt")}
+    wanted = {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Apache-2.0"}
+    assert wanted <= set(read)
+    cases = [(f"Copyright (c) Some One\n\n{read[k]}\nend", k) for k in sorted(wanted)]
+    cases += [("# " + read["MIT"].replace("\n", "\n# ").replace("NONINFRINGEMENT", "NON-INFRINGEMENT"), "MIT"),
+              ("// SPDX-License-Identifier: MPL-2.0\n#include <x>", "MPL-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+              ("This is distributed under the MIT license, see there.", "MIT"), ("Shared under CC BY-SA 4.0 by us", "CC-BY-SA-4.0"),
+              ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+               "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+              ("one two three under the terms of a treaty on software and the public", None)]
+    found = {}
+    for r in license_scan.scan(frame(spark, [t for t, _ in cases])).collect():
+        found.setdefault(r.doc_id, set()).add(r.license_id)
+    for k, (_, license_id) in enumerate(cases):
+        also = {"BSD-2-Clause"} if license_id == "BSD-3-Clause" else set()
+        assert found.get(k, set()) == ({license_id} if license_id else set()) | (also & found.get(k, set())), (k, license_id, found.get(k))
