@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.chat import render
+from panelcast.llm.collocations import collocations
 from panelcast.llm.decontaminate import find_matches
 from panelcast.llm.html_content import extract
 from panelcast.llm.language import fit, predict
@@ -174,3 +175,31 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_html_extraction")
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op13_phrase_collocations", rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS g
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) s(k) WHERE len(w) >= k))
+      GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+inner_part AS (SELECT lang, g, max(a) AS most FROM (
+      SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS g FROM (
+      SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) s(m) WHERE m < k)) GROUP BY 1, 2),
+cut AS (SELECT c.lang, c.g, c.a, k, w, unnest(range(1, k)) AS place FROM c LEFT JOIN inner_part USING (lang, g)
+        WHERE most IS NULL OR 100 * most < 100 * a),
+scored AS (SELECT cut.lang, cut.g AS phrase, a, x.f AS l, y.f AS r, n, place,
+           CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.g = array_to_string(w[1 : place], ' ')
+           JOIN f y ON y.lang = cut.lang AND y.g = array_to_string(w[place + 1 :], ' ') JOIN total ON total.lang = cut.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+""")
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,17 @@ def quoted(name: str) -> str:
 def as_long(hashes):
     """The bits of unsigned hashes as Spark's signed longs."""
     return hashes.view("int64")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder; what is written there goes when the session ends."""
+    top = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return top
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a Parquet table at `path`."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
