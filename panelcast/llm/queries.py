@@ -13,11 +13,13 @@ from panelcast.llm.language import fit, predict
 from panelcast.llm.license_scan import NOTICES, scan, template_words
 from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.packing import pack_documents
+from panelcast.llm.periodic_runs import find_runs
 from panelcast.llm.quality import judge
 from panelcast.llm.registry import QUERIES, SQL, query  # noqa: F401
 from panelcast.llm.sharding import contiguous_shards, document_sizes
 from panelcast.llm.suffix_dedup import remove_repeats
 from panelcast.llm.tables import table
+from panelcast.llm.warc import read_archives, write_archives
 
 ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -203,3 +205,34 @@ FROM best QUALIFY rank <= 2000
 """)
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_warc", """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+""")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return records.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    docs = docs.withColumn("w", F.expr(f"CASE WHEN h % 10 = 0 AND text IS NOT NULL THEN {words} END")).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.expr("IF(size(w) > 0, g % size(w), 0)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    again = "array_join(transform(w, (x, i) -> IF(i < a, x, w[int(a + (i - a) % p)])), ' ')"
+    found = find_runs(docs.withColumn("text", F.expr(f"CASE WHEN w IS NOT NULL THEN {again} ELSE text END")), keep=["doc_id"])
+    none = "cast(null as struct<start: bigint, length: bigint, period: bigint>)"
+    found = found.withColumn("best", F.expr(
+        f"aggregate(runs, {none}, (b, r) -> IF(b IS NULL OR r.length * b.period > b.length * r.period, r, b))"))
+    listed = r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return found.select(
+        "row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.expr(listed), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"))
