@@ -32,8 +32,8 @@ from panelcast.llm.tables import as_long, shared_folder, text_or_empty, written
 UNKNOWN = "und"
 BREAKS = wd.byte_set((0x0A, 0x0D), *((ord(c),) * 2 for c in ".,;:!?"))
 SPACES = wd.byte_set((0x09, 0x09), (0x20, 0x20))
-BLOCK_BYTES = 4 << 20
-HELD = 1 << 21
+BLOCK_BYTES = 1 << 20
+HELD = 1 << 20
 BITS = (16, 27)
 BUCKETS = 64
 RESULT = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
