@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import text as tx
 from panelcast.llm import words as wd
-from panelcast.llm.tables import as_long, shared_folder, text_or_empty, written
+from panelcast.llm.tables import as_long, maybe_in, shared_folder, text_or_empty, written
 
 UNKNOWN = "und"
 BREAKS = wd.byte_set((0x0A, 0x0D), *((ord(c),) * 2 for c in ".,;:!?"))
@@ -37,22 +37,22 @@ HELD = 1 << 20
 BITS = (16, 27)
 BUCKETS = 64
 RESULT = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
-WORDS = pa.schema([("pos", pa.list_(pa.int32())), ("key", pa.list_(pa.int64())), ("groups", pa.list_(pa.struct(
+WORDS = pa.schema([("pos", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("groups", pa.list_(pa.struct(
     [("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("times", pa.int64())])))])
-WORD_ROWS = "pos array<int>, key array<bigint>, groups array<struct<lang: string, word: string, key: bigint, times: bigint>>"
-PHRASES = pa.schema([("pos", pa.list_(pa.int32())), ("key", pa.list_(pa.int64())), ("groups", pa.list_(pa.struct(
+WORD_ROWS = "pos array<int>, place array<int>, groups array<struct<lang: string, word: string, key: bigint, times: bigint>>"
+PHRASES = pa.schema([("pos", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("groups", pa.list_(pa.struct(
     [("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("times", pa.int64())])))])
-PHRASE_ROWS = "pos array<int>, key array<bigint>, groups array<struct<key: bigint, left: bigint, right: bigint, times: bigint>>"
+PHRASE_ROWS = "pos array<int>, place array<int>, groups array<struct<key: bigint, left: bigint, right: bigint, times: bigint>>"
 COUNTS = pa.schema([("key", pa.int64()), ("times", pa.int64())])
 
 
-def _row(schema: pa.Schema, pos: np.ndarray, key: np.ndarray, groups: list) -> pa.RecordBatch:
-    """One block of a relation as a row."""
+def _row(schema: pa.Schema, pos: np.ndarray, place: np.ndarray, groups: list) -> pa.RecordBatch:
+    """One block of a relation as a row: positions, each with its phrase's place among the block's ``groups``."""
     def whole(values):
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     parts = pa.StructArray.from_arrays([pa.array(g, f.type) for g, f in zip(groups, schema.field("groups").type.value_type)],
                                        fields=list(schema.field("groups").type.value_type))
-    return pa.RecordBatch.from_arrays([whole(pa.array(pos, pa.int32())), whole(pa.array(key)), whole(parts)], schema=schema)
+    return pa.RecordBatch.from_arrays([whole(pa.array(pos, pa.int32())), whole(pa.array(place, pa.int32())), whole(parts)], schema=schema)
 
 
 @tx.tidy
@@ -75,7 +75,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, place, times = np.unique(pair, return_inverse=True, return_counts=True)
         language, word = groups // len(different), groups % len(different)
         hashes = tx.mix(wd.hash_words(different)[word] * tx.BASE + wd.hash_words(languages.dictionary)[language])
-        yield _row(WORDS, pos, as_long(hashes[place]), [
+        yield _row(WORDS, pos, place, [
             languages.dictionary.take(pa.array(language)), different.take(pa.array(word)).cast(pa.string()), as_long(hashes), times])
 
 
@@ -99,7 +99,8 @@ class Members:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield tuple(batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "key"))
+            pos, place, keys = (batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "place", "keys"))
+            yield pos, keys[place]
 
 
 def _joined(pos: np.ndarray, key: np.ndarray, frequent: Members):
@@ -157,7 +158,9 @@ def _extend(frequent: Members, counted: Members):
             first = np.flatnonzero(np.append(True, (np.diff(key[parts]) != 0) | (np.diff(left[parts]) != 0)
                                              | (np.diff(right[parts]) != 0)))
             times = np.diff(np.append(first, len(parts)))
-            yield _row(PHRASES, pos, key, [x[parts[first]] for x in (key, left, right)] + [times])
+            place = np.empty(len(parts), np.int64)
+            place[parts] = np.repeat(np.arange(len(first)), times)
+            yield _row(PHRASES, pos, place, [x[parts[first]] for x in (key, left, right)] + [times])
     return run
 
 
@@ -174,19 +177,23 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     top = shared_folder(spark, "phrases")
     rows = docs.select(text_or_empty(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     relation = written(rows.mapInArrow(_occurrences, WORD_ROWS), f"{top}/r1")
-    words = written(relation.select(F.inline("groups")).groupBy("lang", "word", "key").agg(F.sum("times").alias("a")), f"{top}/words")
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
+    groups = relation.select(F.inline("groups"))
+    totals = groups.groupBy("lang").agg(F.sum("times").alias("n"))
+    # rare words never travel as strings: their hashes are counted first
+    hashes = written(groups.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= least), f"{top}/counts1")
+    words = maybe_in(groups, "key", hashes, "_maybe").where("_maybe").groupBy("lang", "word", "key").agg(F.sum("times").alias("a"))
     none = F.lit(None).cast("bigint")
     level = words.where(F.col("a") >= least).select(
         "key", none.alias("left"), none.alias("right"), "lang", F.array("word").alias("words"), "a", F.array("a").alias("heads"),
         F.array("a").alias("tails"))
-    levels = [level]
+    levels = [written(level, f"{top}/l1")]
     for k in range(1, longest):
         frequent = Members(levels[-1])
-        counts = relation.select("pos", "key").mapInArrow(_count(frequent), "key bigint, times bigint").groupBy("key").agg(
+        occurrences = relation.select("pos", "place", F.col("groups.key").alias("keys"))
+        counts = occurrences.mapInArrow(_count(frequent), "key bigint, times bigint").groupBy("key").agg(
             F.sum("times").alias("times")).where(F.col("times") >= least)
         counted = Members(written(counts, f"{top}/counts{k + 1}"))
-        relation = written(relation.select("pos", "key").mapInArrow(_extend(frequent, counted), PHRASE_ROWS), f"{top}/r{k + 1}")
+        relation = written(occurrences.mapInArrow(_extend(frequent, counted), PHRASE_ROWS), f"{top}/r{k + 1}")
         groups = relation.select(F.inline("groups")).groupBy("key", "left", "right").agg(F.sum("times").alias("a")).where(F.col("a") >= least)
         head = levels[-1].select(F.col("key").alias("left"), "lang", F.col("words").alias("front"), "heads")
         tail = levels[-1].select(F.col("key").alias("right"), F.element_at("words", -1).alias("last"), "tails")
