@@ -26,6 +26,41 @@ def _with_keys(df: DataFrame, keys: Sequence[str], tail: str) -> T.StructType:
     return T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(tail).fields)
 
 
+class GramSums:
+    """Gram matrices of ``[1, x, y]`` by key, held in a task until they have ``CELLS_HELD`` cells."""
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys, self.held, self.size = list(keys), {}, 0
+
+    def add(self, key: tuple, xs: np.ndarray, ys: np.ndarray) -> None:
+        z = np.hstack([np.ones((len(xs), 1)), xs, ys])
+        g = z.T @ z
+        if key in self.held:
+            self.held[key][1].__iadd__(g)
+        else:
+            self.held[key] = (xs.shape[1], g)
+            self.size += g.size
+
+    def full(self) -> bool:
+        return self.size > CELLS_HELD
+
+    def take(self) -> pd.DataFrame:
+        """What is held, as rows ``(keys, n_x, cells)``; nothing is held then."""
+        out = pd.DataFrame(list(self.held), columns=self.keys)
+        out["n_x"] = [n for n, _ in self.held.values()]
+        out["cells"] = [g[np.triu_indices(len(g))] for _, g in self.held.values()]
+        self.held, self.size = {}, 0
+        return out
+
+
+def sum_grams(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, n_x, cells)`` summed over tasks, cell by cell."""
+    summed = (partials.select(*keys, "n_x", F.posexplode("cells"))
+              .groupBy(*keys, "n_x", "pos").agg(F.sum("col").alias("cell")))
+    return summed.groupBy(*keys, "n_x").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "cell"))), lambda c: c["cell"]).alias("cells"))
+
+
 def gram(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """``(keys, n_x, cells)``: the upper triangle, row by row, of the Gram matrix of ``[1, x, y]``.
 
@@ -35,38 +70,18 @@ def gram(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> Da
     keys = list(keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, tuple[int, np.ndarray]] = {}
-        size = 0
-
-        def emit() -> pd.DataFrame:
-            out = pd.DataFrame(list(held), columns=keys)
-            out["n_x"] = [n for n, _ in held.values()]
-            out["cells"] = [g[np.triu_indices(len(g))] for _, g in held.values()]
-            return out
-
+        sums = GramSums(keys)
         for batch in batches:
             for key, part in batch.groupby(keys, sort=False, dropna=False):
-                xs, ys = np.stack(part["x"].to_numpy()), np.stack(part["y"].to_numpy())
-                z = np.hstack([np.ones((len(part), 1)), xs, ys])
-                g = z.T @ z
-                if key in held:
-                    held[key][1].__iadd__(g)
-                else:
-                    held[key] = (xs.shape[1], g)
-                    size += g.size
-                if size > CELLS_HELD:
-                    yield emit()
-                    held.clear()
-                    size = 0
-        if held:
-            yield emit()
+                sums.add(key, np.stack(part["x"].to_numpy()), np.stack(part["y"].to_numpy()))
+                if sums.full():
+                    yield sums.take()
+        if sums.held:
+            yield sums.take()
 
     partials = rows.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(
         partial, _with_keys(rows, keys, "n_x int, cells array<double>"))
-    summed = (partials.select(*keys, "n_x", F.posexplode("cells"))
-              .groupBy(*keys, "n_x", "pos").agg(F.sum("col").alias("cell")))
-    return summed.groupBy(*keys, "n_x").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "cell"))), lambda c: c["cell"]).alias("cells"))
+    return sum_grams(partials, keys)
 
 
 def solve_ridge(grams: DataFrame, keys: Sequence[str], alpha: float = 1.0) -> DataFrame:

@@ -34,6 +34,14 @@ def query_prices(df: DataFrame, nodes: str | Sequence[str], start: str, end: str
     return fill_null(select_nodes(ranged, nodes, panel.keys[0]), 0.0, panel.value)
 
 
+def train_test_positions(rows: DataFrame, fraction: float) -> DataFrame:
+    """``pos`` and ``n`` of a split panel, counted inside each side."""
+    stop = train_stop(fraction)
+    first = F.col("split") == "train"
+    return rows.withColumns({"pos": F.when(first, F.col("pos")).otherwise(F.col("pos") - stop),
+                             "n": F.when(first, stop).otherwise(F.col("n") - stop)})
+
+
 def train_test_panel(df: DataFrame, fraction: float = 0.8, normalize: bool = False, include_calendar: bool = False,
                      log_differences: bool = False, panel: Panel = PANEL) -> DataFrame:
     """``(keys, ts, value, [calendar,] split)`` with ``pos`` and ``n`` counted inside each split.
@@ -55,10 +63,7 @@ def train_test_panel(df: DataFrame, fraction: float = 0.8, normalize: bool = Fal
         rows = rows.withColumns({
             c: (F.col(c) - F.col(f"_m_{c}")) / F.coalesce(F.nullif(f"_s_{c}", F.lit(0.0)), F.lit(1.0)) for c in columns
         }).drop(*[f"_{m}_{c}" for c in columns for m in "ms"])
-    stop = train_stop(fraction)
-    first = F.col("split") == "train"
-    rows = rows.withColumns({"pos": F.when(first, F.col("pos")).otherwise(F.col("pos") - stop),
-                             "n": F.when(first, stop).otherwise(F.col("n") - stop)})
+    rows = train_test_positions(rows, fraction)
     return log_difference(rows, panel.with_keys(*panel.keys, "split")) if log_differences else rows
 
 
@@ -82,3 +87,34 @@ def train_test_rows(matrix: DataFrame, fraction: float = 0.8, panel: Panel = MAT
     split = chrono_split(matrix, fraction, panel)
     return split.select(*panel.keys, panel.time, "split", F.posexplode(panel.value)).select(
         *panel.keys, F.col("pos").alias("member"), panel.time, F.col("col").alias("value"), "split")
+
+
+def train_test_lists(df: DataFrame, lists: DataFrame, fraction: float = 0.8, normalize: bool = False, include_calendar: bool = False,
+                     log_differences: bool = False, start: str | None = None, end: str | None = None,
+                     panel: Panel = PANEL) -> DataFrame:
+    """Train and test rows of whole lists of series: ``(center, member, ts, value, [calendar,] split, pos, n)``.
+
+    ``lists`` has rows ``(center, node, is_center)``. Only hours that every member of a list has count, so all members are
+    cut at one hour, the first ``floor(fraction * hours)`` of them being training rows. ``normalize`` then standardises each
+    member by its training rows, and calendar columns by those of the list; log differences are taken last, of each side of
+    the cut alone (NULL where a value is not positive). ``pos`` and ``n`` count within a side.
+    """
+    if start is not None and end is not None:
+        df = between_exclusive(df, start, end, on=panel.time)
+    matrix = to_matrix(neighbor_panel(df, lists, panel.keys[0]), lists, None, panel.time, panel.value)
+    whole = panel.with_keys("center").with_value("values")
+    ix = train_test_positions(chrono_split(matrix, fraction, whole), fraction)
+    columns = list(CALENDAR) if include_calendar else []
+    if include_calendar:
+        ix = calendar_features(ix, panel.time).drop("day_name")
+    rows = ix.select("center", panel.time, "split", "pos", "n", *columns, F.posexplode("values").alias("member", panel.value))
+    if normalize:
+        names = [panel.value, *columns]
+        stats = rows.filter("split = 'train'").groupBy("center", "member").agg(
+            *[f(c).alias(f"_{name}_{c}") for c in names for name, f in (("m", F.avg), ("s", F.stddev_pop))])
+        rows = rows.join(stats, ["center", "member"])
+        rows = rows.withColumns({
+            c: (F.col(c) - F.col(f"_m_{c}")) / F.coalesce(F.nullif(f"_s_{c}", F.lit(0.0)), F.lit(1.0)) for c in names
+        }).drop(*stats.columns[2:])
+    members = panel.with_keys("center", "member", "split")
+    return log_difference(rows, members) if log_differences else rows

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.models.ar import ARSpec, ar_ridge_fit, ar_ridge_scores
-from panelcast.models.nonlinear import nonlinear_fit, nonlinear_predict
-from panelcast.models.var import VARSpec, var_ridge_fit, var_ridge_predict
+from panelcast.models.nonlinear import NonlinearSpec, nonlinear_fit, nonlinear_predict
+from panelcast.models.var import VARSpec, matrix_stats, var_ridge_fit, var_ridge_predict
 from panelcast.operators.index import index_panel
 from panelcast.operators.metrics import forecast_metrics
 from panelcast.operators.scale import minmax_stats
@@ -35,12 +35,24 @@ def evaluate_ar(df: DataFrame, spec: ARSpec = ARSpec(), fraction: float = 0.8, s
                            panel=panel)
 
 
+def forecast_var(matrix: DataFrame, spec: VARSpec = VARSpec(), fraction: float = 0.8, scaler: str = "refit",
+                 restore: bool = False, panel: Panel = MATRIX) -> DataFrame:
+    """Fits on the first ``fraction`` of every neighbourhood's rows and forecasts the rest.
+
+    ``scaler='refit'`` scales the test rows by their own ranges, ``'train'`` by those of the training rows.
+    """
+    if scaler not in ("refit", "train"):
+        raise ValueError(f"unknown scaler {scaler!r}")
+    ix = index_panel(matrix, panel)
+    train = take_split(ix, "train", fraction, panel)
+    ranges = matrix_stats(train, panel) if scaler == "train" else None
+    return var_ridge_predict(take_split(ix, "test", fraction, panel), var_ridge_fit(train, spec, panel), spec, panel, ranges, restore)
+
+
 def evaluate_var(matrix: DataFrame, spec: VARSpec = VARSpec(), fraction: float = 0.8,
                  panel: Panel = MATRIX) -> DataFrame:
     """Pooled scores per centre over all outputs of its neighbourhood."""
-    ix = index_panel(matrix, panel)
-    coef = var_ridge_fit(take_split(ix, "train", fraction, panel), spec, panel)
-    pred = var_ridge_predict(take_split(ix, "test", fraction, panel), coef, spec, panel)
+    pred = forecast_var(matrix, spec, fraction, panel=panel)
     return forecast_metrics(pred, list(panel.keys), spec.horizon, panel.with_keys(*panel.keys, "member"))
 
 
@@ -68,15 +80,15 @@ def evaluate_var_grid(matrix: DataFrame, models: Mapping[str, VARSpec], fraction
     return reduce(DataFrame.unionByName, parts)
 
 
-def evaluate_seeds(df: DataFrame, look_back: int, seeds: Sequence[int], horizon: int = 1, fraction: float = 0.8,
+def evaluate_seeds(df: DataFrame, spec: NonlinearSpec, seeds: Sequence[int], fraction: float = 0.8,
                    panel: Panel = PANEL) -> DataFrame:
-    """Scores ``(keys, type, run, ...)`` of the boosted-tree model, one distributed fit per seed."""
+    """Scores ``(keys, type, run, ...)`` of the nonlinear model, ``run`` being the seed; all seeds in one job.
+
+    The panel may hold single values or arrays; scores of arrays are pooled over the members.
+    """
+    keys = list(panel.keys)
     ix = stored(index_panel(df, panel))
     train, test = (take_split(ix, part, fraction, panel) for part in ("train", "test"))
-    parts = []
-    for seed in seeds:
-        model = nonlinear_fit(train, look_back, horizon, seed, panel=panel)
-        pred = nonlinear_predict(test, model, look_back, horizon, panel)
-        scored = forecast_metrics(pred, panel.keys, horizon, panel)
-        parts.append(scored.withColumn("type", F.lit("boosted")).withColumn("run", F.lit(seed)))
-    return reduce(DataFrame.unionByName, parts)
+    pred = nonlinear_predict(test, nonlinear_fit(train, spec, seeds, panel), spec, panel)
+    scored = forecast_metrics(pred, [*keys, "seed"], spec.horizon, panel.with_keys(*keys, "seed", "member"))
+    return scored.withColumn("type", F.lit("nonlinear")).withColumnRenamed("seed", "run")

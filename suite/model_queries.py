@@ -1,4 +1,4 @@
-"""Ridge autoregressions, vector autoregressions, ARMA grids, boosted trees and reports."""
+"""Ridge autoregressions, vector autoregressions, ARMA grids, nonlinear models and reports."""
 
 from __future__ import annotations
 
@@ -9,23 +9,24 @@ from pyspark.sql import functions as F
 from panelcast.models.ar import ARSpec, ar_ridge_fit, ar_ridge_predict, recursive_forecast
 from panelcast.models.arma import arma_grid_posterior, arma_residual_ss
 from panelcast.models.moments import gram
-from panelcast.models.nonlinear import nonlinear_ar
-from panelcast.models.scoring import score_windows
-from panelcast.models.var import VARSpec, to_matrix, var_ridge_fit, var_ridge_predict
+from panelcast.models.nonlinear import NonlinearSpec, hidden_layer, nonlinear_ar, nonlinear_fit, nonlinear_predict
+from panelcast.models.scoring import roll_forward, score_panel, score_windows
+from panelcast.models.var import VARSpec, log_difference_matrix, to_matrix, var_recursive_forecast, var_ridge_fit
 from panelcast.operators import metrics as M
 from panelcast.operators import scale as SC
 from panelcast.operators import series as S
 from panelcast.operators.graph import neighbor_panel
 from panelcast.operators.index import index_panel
-from panelcast.operators.reshape import select_nodes
+from panelcast.operators.reshape import node_catalog
 from panelcast.plans.datasets import neighborhood_matrix
-from panelcast.plans.evaluation import evaluate_ar, evaluate_grid, evaluate_seeds, evaluate_var, evaluate_var_grid
+from panelcast.plans.evaluation import evaluate_ar, evaluate_grid, evaluate_seeds, evaluate_var, evaluate_var_grid, forecast_var
 from panelcast.session import stored
 from panelcast.sources.writers import write_report
 from suite.registry import query
 from suite.series_queries import metrics_sql, scores
-from suite.tables import (DAILY, EV, HOURLY, LI, MONTHLY, RAW, RAW_EV, edges, events_hourly, events_raw, label_catalog,
-                          label_monthly, r, scratch, sql_ix, sql_r, sql_scaled, sql_stamp, stamp, supplier_daily)
+from suite.tables import (DAILY, EV, EV_NAMES, HOURLY, LI, LI_NAMES, MONTHLY, RAW, RAW_EV, edges, events_hourly, events_raw,
+                          families, label_catalog, label_monthly, r, scratch, sql_family_rows, sql_ix, sql_r, sql_scaled, sql_stamp,
+                          stamp, supplier_daily, supplier_names)
 
 _W = "(PARTITION BY series_id ORDER BY ts)"
 
@@ -205,85 +206,160 @@ def recursive(spark, sf_dir):
 
 # --- vector autoregression ---------------------------------------------------------------
 
-def _group(spark, names):
-    """One neighbourhood: the first name is the centre."""
-    return spark.createDataFrame([("all", n, n == names[0]) for n in names], "center string, node string, is_center boolean")
+_C = "(PARTITION BY center ORDER BY ts)"
+_OF = "(PARTITION BY center)"
 
 
-def _event_matrix(spark, sf_dir, names):
-    family = _group(spark, names)
+def _event_names(spark, sf_dir):
+    return node_catalog(events_hourly(spark, sf_dir))
+
+
+def _event_families(spark, sf_dir, size):
+    """Every event type with the types after it, by hour: many neighbourhoods with names from the data."""
+    family = stored(families(_event_names(spark, sf_dir), size))
     # fit and forecast read the matrix and its ranges: store it once
-    return stored(to_matrix(neighbor_panel(select_nodes(events_hourly(spark, sf_dir), names, "series_id"), family), family))
+    return stored(to_matrix(neighbor_panel(events_hourly(spark, sf_dir), family), family))
 
 
-def _wide_rows(names: list[str]) -> str:
-    cells = ", ".join(f"avg(CASE WHEN event_type = '{n}' THEN value END) AS x{i}" for i, n in enumerate(names, 1))
-    full = " AND ".join(f"x{i} IS NOT NULL" for i in range(1, len(names) + 1))
-    return f"SELECT 'all' AS center, * FROM (SELECT date_trunc('hour', ts) AS ts, {cells} FROM events GROUP BY 1) WHERE {full}"
+def _supplier_families(spark, sf_dir, size):
+    family = stored(families(supplier_names(spark, sf_dir), size))
+    return stored(to_matrix(neighbor_panel(supplier_daily(spark, sf_dir), family), family))
 
 
-def _var_rows(names: list[str], part: str, look_back: int = 1) -> str:
-    """Lag rows of one side of the 0.8 split, scaled to [1, largest value] and log-differenced."""
-    k = len(names)
-    stop = "floor(CAST(0.8 AS DOUBLE) * count(*) OVER ())"
-    cut = f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY ts) AS rn, {stop} AS stop FROM ({_wide_rows(names)})) WHERE rn {'<=' if part == 'train' else '>'} stop"
-    stats = ", ".join([f"min(x{i}) OVER () AS lo{i}, max(x{i}) OVER () AS hi{i}" for i in range(1, k + 1)])
-    top = "greatest(" + ", ".join(f"hi{i}" for i in range(1, k + 1)) + ")"
-    logs = ", ".join(f"ln(1.0 + (x{i} - lo{i}) * ({top} - 1.0) / (hi{i} - lo{i})) AS g{i}" for i in range(1, k + 1))
-    diffs = ", ".join(f"g{i} - lag(g{i}) OVER (ORDER BY ts) AS y{i}" for i in range(1, k + 1))
-    lags = ", ".join(f"lag(y{i}, {j}) OVER (ORDER BY ts) AS l{j}_{i}" for j in range(1, look_back + 1) for i in range(1, k + 1))
-    return f"""SELECT *, row_number() OVER (ORDER BY ts) AS rw, count(*) OVER () AS rws FROM (
-      SELECT *, {lags} FROM (SELECT *, row_number() OVER (ORDER BY ts) AS pos, {diffs} FROM (
-        SELECT *, {logs} FROM (SELECT *, {stats} FROM ({cut}))))) WHERE pos > {look_back + 2}"""
+def _top(i: int, k: int, spec: VARSpec) -> str:
+    if spec.scaling == "joint":
+        return "greatest(" + ", ".join(f"hi{j}" for j in range(1, k + 1)) + ")"
+    return f"hi{i}" if spec.scaling == "member" else f"(hi{i} + 1.0)"
 
 
-def _var_fit(names: list[str], outs: list[str]) -> str:
-    rows = f"SELECT * FROM ({_var_rows(names, 'train')}) WHERE rw <= floor(CAST(0.6 AS DOUBLE) * rws)"
-    return sql_ridge(rows, "center", [f"l1_{i}" for i in range(1, len(names) + 1)], outs)
+def _var_logs(rows: str, k: int, spec: VARSpec) -> str:
+    """Scaled logs ``g``, log differences ``d`` and the position of family rows."""
+    stats = ", ".join(f"min(x{i}) OVER {_OF} AS lo{i}, max(x{i}) OVER {_OF} AS hi{i}" for i in range(1, k + 1))
+    logs = ", ".join(f"ln(CASE WHEN hi{i} = lo{i} THEN 1.0 ELSE 1.0 + (x{i} - lo{i}) * ({_top(i, k, spec)} - 1.0) / (hi{i} - lo{i}) END) AS g{i}"
+                     for i in range(1, k + 1))
+    diffs = ", ".join(f"g{i} - lag(g{i}) OVER {_C} AS d{i}" for i in range(1, k + 1))
+    return f"""SELECT *, row_number() OVER {_C} AS pos, count(*) OVER {_OF} AS cnt, {diffs} FROM (
+        SELECT *, {logs} FROM (SELECT *, {stats} FROM ({rows})))"""
 
 
-def _var_predict(names: list[str], outs: list[str]) -> str:
-    k = len(names)
-    joined = f"SELECT * FROM ({_var_rows(names, 'test')}) JOIN ({_var_fit(names, outs)}) USING (center)"
-    return " UNION ALL ".join(
-        f"SELECT center, {o - 1} AS member, ts, c{o} + {' + '.join(f'w{i}_{o} * l1_{i}' for i in range(1, k + 1))} AS predicted, "
-        f"y{o} AS actual FROM ({joined})" for o in range(1, len(outs) + 1))
+def _side(rows: str, part: str) -> str:
+    stop = f"floor(CAST(0.8 AS DOUBLE) * count(*) OVER {_OF})"
+    return f"""SELECT * EXCLUDE (rn, stop) FROM (SELECT *, row_number() OVER {_C} AS rn, {stop} AS stop FROM ({rows}))
+      WHERE rn {'<=' if part == 'train' else '>'} stop"""
+
+
+def _var_rows(rows: str, part: str, k: int, spec: VARSpec) -> str:
+    """Lag rows of one side of the 0.8 split, scaled and log-differenced; ``y`` are targets, ``past`` the logs before them."""
+    p, h = spec.look_back, spec.horizon
+    lags = ", ".join(f"lag(d{i}, {j}) OVER {_C} AS l{j}_{i}" for j in range(1, p + 1) for i in range(1, k + 1))
+    ahead = ", ".join(f"lead(d{i}, {h - 1}) OVER {_C} AS y{i}, {f'lag(g{i}, 1)' if h == 1 else f'lead(g{i}, {h - 2})'} OVER {_C} AS past{i}"
+                      for i in range(1, k + 1))
+    return f"""SELECT *, row_number() OVER {_C} AS rw, count(*) OVER {_OF} AS rws FROM (
+      SELECT *, {lags}, {ahead} FROM ({_var_logs(_side(rows, part), k, spec)})) WHERE pos > {p + 2} AND pos + {h - 1} <= cnt"""
+
+
+def _lag_names(k: int, spec: VARSpec) -> list[str]:
+    return [f"l{j}_{i}" for j in range(1, spec.look_back + 1) for i in range(1, k + 1)]
+
+
+def _outs(k: int, spec: VARSpec) -> list[str]:
+    return [f"y{o}" for o in range(1, (1 if spec.outputs == "center" else k) + 1)]
+
+
+def _var_fit(rows: str, k: int, spec: VARSpec) -> str:
+    train = f"SELECT * FROM ({_var_rows(rows, 'train', k, spec)}) WHERE rw <= floor(CAST(0.6 AS DOUBLE) * rws)"
+    return sql_ridge(train, "center", _lag_names(k, spec), _outs(k, spec))
+
+
+def _var_predict(rows: str, k: int, spec: VARSpec) -> str:
+    joined = f"SELECT * FROM ({_var_rows(rows, 'test', k, spec)}) JOIN ({_var_fit(rows, k, spec)}) USING (center)"
 
+    def restored(v: str, i: int) -> str:
+        return f"lo{i} + (exp({v} + past{i}) - 1.0) * (hi{i} - lo{i}) / nullif({_top(i, k, spec)} - 1.0, 0)"
 
-_PAIR = ["click", "view"]
-_ALL = ["click", "error", "purchase", "signup", "view"]
+    parts = []
+    for o, y in enumerate(_outs(k, spec), 1):
+        ahead = f"c{o} + " + " + ".join(f"w{i}_{o} * {x}" for i, x in enumerate(_lag_names(k, spec), 1))
+        parts.append(f"""SELECT center, {o - 1} AS member, ts, predicted, {y} AS actual, {restored('predicted', o)} AS restored,
+          {restored(y, o)} AS restored_actual FROM (SELECT *, {ahead} AS predicted FROM ({joined}))""")
+    return " UNION ALL ".join(parts)
 
 
-def _var_predictions(spark, sf_dir, names, spec):
-    panel = HOURLY.with_keys("center").with_value("values")
-    ix = index_panel(_event_matrix(spark, sf_dir, names), panel)
-    coef = var_ridge_fit(S.take_split(ix, "train", 0.8, panel), spec, panel)
-    return var_ridge_predict(S.take_split(ix, "test", 0.8, panel), coef, spec, panel)
+_BY_CENTER = HOURLY.with_keys("center").with_value("values")
+_DAILY_CENTER = DAILY.with_keys("center").with_value("values")
+PAIR = VARSpec(look_back=2)
+CENTER = VARSpec(look_back=2, horizon=2, outputs="center", scaling="member")
+PRICES = VARSpec(look_back=2, horizon=2, scaling="member_plus_one")
+MEMBER = VARSpec(look_back=2, scaling="member")
+EV2, EV3 = sql_family_rows(EV, EV_NAMES, 2), sql_family_rows(EV, EV_NAMES, 3)
+LI2 = sql_family_rows(LI, LI_NAMES, 2)
 
 
 def _shown(pred):
     return pred.select("center", "member", stamp("ts").alias("ts"), r("predicted", 5).alias("predicted"), r("actual", 5).alias("actual"))
 
 
-def _var_sql(names, outs):
+def _var_sql(rows, k, spec):
     return f"""SELECT center, member, {sql_stamp()} AS ts, {sql_r('predicted', 5)} AS predicted, {sql_r('actual', 5)} AS actual
-      FROM ({_var_predict(names, outs)})"""
+      FROM ({_var_predict(rows, k, spec)})"""
 
 
-@query("var_forecast_pair", _var_sql(_PAIR, ["y1", "y2"]))
+@query("var_forecast_pair", _var_sql(EV2, 2, PAIR))
 def var_forecast_pair(spark, sf_dir):
-    return _shown(_var_predictions(spark, sf_dir, _PAIR, VARSpec(look_back=1)))
+    return _shown(forecast_var(_event_families(spark, sf_dir, 2), PAIR, panel=_BY_CENTER))
 
 
-@query("var_forecast_center", _var_sql(_ALL, ["y1"]))
+@query("var_forecast_center", _var_sql(EV3, 3, CENTER))
 def var_forecast_center(spark, sf_dir):
-    return _shown(_var_predictions(spark, sf_dir, _ALL, VARSpec(look_back=1, outputs="center")))
+    return _shown(forecast_var(_event_families(spark, sf_dir, 3), CENTER, panel=_BY_CENTER))
 
 
-@query("var_scores_events", metrics_sql(_var_predict(_ALL, [f"y{i}" for i in range(1, 6)]), by="center", part="center, member"))
+@query("var_scores_events", metrics_sql(_var_predict(EV3, 3, PAIR), by="center", part="center, member"))
 def var_scores_events(spark, sf_dir):
-    panel = HOURLY.with_keys("center").with_value("values")
-    return scores(evaluate_var(_event_matrix(spark, sf_dir, _ALL), VARSpec(look_back=1), panel=panel), "center")
+    return scores(evaluate_var(_event_families(spark, sf_dir, 3), PAIR, panel=_BY_CENTER), "center")
+
+
+@query("var_scores_suppliers", metrics_sql(_var_predict(LI2, 2, MEMBER), by="center", part="center, member"))
+def var_scores_suppliers(spark, sf_dir):
+    return scores(evaluate_var(_supplier_families(spark, sf_dir, 2), MEMBER, panel=_DAILY_CENTER), "center")
+
+
+@query("var_forecast_prices", f"""SELECT center, member, {sql_stamp()} AS ts, {sql_r('restored', 2)} AS predicted,
+  {sql_r('restored_actual', 2)} AS actual FROM ({_var_predict(LI2, 2, PRICES)})""")
+def var_forecast_prices(spark, sf_dir):
+    pred = forecast_var(_supplier_families(spark, sf_dir, 2), PRICES, restore=True, panel=_DAILY_CENTER)
+    return pred.select("center", "member", stamp("ts").alias("ts"), r("restored", 2).alias("predicted"), r("restored_actual", 2).alias("actual"))
+
+
+@query("var_report", f"""SELECT center, printf('%f', mae) AS mae, printf('%f', mase) AS mase, printf('%f', hits) AS hits
+  FROM ({metrics_sql(_var_predict(EV2, 2, PAIR), by="center", part="center, member", rounded=False)})""")
+def var_report(spark, sf_dir):
+    found = evaluate_var(_event_families(spark, sf_dir, 2), PAIR, panel=_BY_CENTER)
+    path = scratch(spark, "var-report")
+    write_report(M.plain_report(found, ("center",)), path)
+    return spark.read.csv(path, sep="\t", header=True)
+
+
+def _var_recursive_sql():
+    logs = _var_logs(_side(EV2, "train"), 2, PAIR)
+    train = _var_rows(EV2, "train", 2, PAIR)
+    fit = sql_ridge(f"SELECT * FROM ({train}) WHERE rw <= floor(CAST(0.6 AS DOUBLE) * rws)", "center", _lag_names(2, PAIR), ["y1", "y2"])
+    src = f"""SELECT *, d1 AS f0_1, d2 AS f0_2, lag(d1) OVER {_C} AS fm_1, lag(d2) OVER {_C} AS fm_2 FROM ({logs})"""
+    src = f"SELECT * FROM ({src}) JOIN ({fit}) USING (center) WHERE pos >= 3"
+    newest, before = "f0", "fm"
+    for step in (1, 2, 3):
+        cols = ", ".join(f"c{o} + w1_{o} * {newest}_1 + w2_{o} * {newest}_2 + w3_{o} * {before}_1 + w4_{o} * {before}_2 AS f{step}_{o}" for o in (1, 2))
+        src = f"SELECT *, {cols} FROM ({src})"
+        newest, before = f"f{step}", newest
+    return " UNION ALL ".join(f"SELECT center, {sql_stamp()} AS origin, {k} AS step, {o - 1} AS member, {sql_r(f'f{k}_{o}')} AS predicted FROM ({src})"
+                              for k in (1, 2, 3) for o in (1, 2))
+
+
+@query("var_recursive_forecast", _var_recursive_sql())
+def var_recursive(spark, sf_dir):
+    train = S.take_split(index_panel(_event_families(spark, sf_dir, 2), _BY_CENTER), "train", 0.8, _BY_CENTER)
+    path = var_recursive_forecast(train, var_ridge_fit(train, PAIR, _BY_CENTER), 3, PAIR, _BY_CENTER)
+    return path.select("center", stamp("origin").alias("origin"), "step", "member", r("predicted").alias("predicted"))
 
 
 @query("var_scores_neighborhoods")
@@ -296,7 +372,7 @@ def var_scores_neighborhoods(spark, sf_dir):
     return scores(evaluate_var_grid(matrix, settings, panel=panel), "center", "type")
 
 
-# --- windows scored by a model, boosted trees --------------------------------------------
+# --- windows scored by a model, nonlinear models --------------------------------------------
 
 def recent_mean(past):
     """A stand-in for a caller's model: the mean of the last six values."""
@@ -313,11 +389,100 @@ def score_windows_query(spark, sf_dir):
     return scored.select("series_id", stamp("ts").alias("ts"), r("predicted").alias("predicted"), r("target").alias("actual"))
 
 
-@query("nonlinear_forecast")
+@query("score_panel", f"""
+  SELECT series_id, {sql_stamp()} AS ts, {sql_r('predicted')} AS predicted, {sql_r('target')} AS actual FROM (
+    SELECT *, avg(value) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS predicted,
+      lead(value) OVER {_W} AS target FROM ({sql_ix(LI)})) WHERE pos >= 111 AND pos + 1 <= n - 1""")
+def score_panel_query(spark, sf_dir):
+    scored = score_panel(supplier_daily(spark, sf_dir), recent_mean, 111, 1, DAILY)
+    return scored.select("series_id", stamp("ts").alias("ts"), r("predicted").alias("predicted"), r("actual").alias("actual"))
+
+
+def _roll_sql():
+    past = ", ".join(f"lag(value, {k}) OVER {_W} AS b{k}" for k in range(6))
+    rows = f"SELECT * FROM (SELECT *, {past} FROM ({sql_ix(EV)})) WHERE pos >= 24"
+    one = f"SELECT *, (b0 + b1 + b2 + b3 + b4 + b5) / 6 AS p1 FROM ({rows})"
+    two = f"SELECT *, (p1 + b0 + b1 + b2 + b3 + b4) / 6 AS p2 FROM ({one})"
+    three = f"SELECT *, (p2 + p1 + b0 + b1 + b2 + b3) / 6 AS p3 FROM ({two})"
+    return " UNION ALL ".join(f"SELECT series_id, {sql_stamp()} AS origin, {k} AS step, {sql_r(f'p{k}')} AS predicted FROM ({three})" for k in (1, 2, 3))
+
+
+@query("roll_forward", _roll_sql())
+def roll_forward_query(spark, sf_dir):
+    path = roll_forward(events_hourly(spark, sf_dir), recent_mean, 24, 3, HOURLY)
+    return path.select("series_id", stamp("origin").alias("origin"), "step", r("predicted").alias("predicted"))
+
+
+def _units_sql(rows: str, inputs: list[str], spec: NonlinearSpec, seeds) -> str:
+    """The rows once per seed, with the hidden units ``h``."""
+    parts = []
+    for seed in seeds:
+        weights, biases = hidden_layer(seed, len(inputs), spec.units)
+        units = ", ".join(f"greatest(0.0::DOUBLE, {' + '.join([f'{x} * ({float(w)!r}::DOUBLE)' for x, w in zip(inputs, row)])} + ({float(b)!r}::DOUBLE)) AS h{u}"
+                          for u, (row, b) in enumerate(zip(weights, biases), 1))
+        parts.append(f"SELECT *, {seed} AS seed, {units} FROM ({rows})")
+    return " UNION ALL ".join(parts)
+
+
+def _nonlinear_sql(train: str, test: str, key: str, inputs: list[str], outs: list[str], spec: NonlinearSpec, seeds) -> str:
+    """Predictions of the rows of ``test`` by models of the rows of ``train``."""
+    names = [f"h{u}" for u in range(1, spec.units + 1)]
+    fit = sql_ridge(_units_sql(train, inputs, spec, seeds), f"{key}, seed", names, outs, spec.alpha)
+    joined = f"SELECT * FROM ({_units_sql(test, inputs, spec, seeds)}) JOIN ({fit}) USING ({key}, seed)"
+    return " UNION ALL ".join(
+        f"SELECT {key}, seed, {o - 1} AS member, ts, c{o} + {' + '.join(f'w{u}_{o} * h{u}' for u in range(1, spec.units + 1))} AS predicted, "
+        f"{y} AS actual FROM ({joined})" for o, y in enumerate(outs, 1))
+
+
+def _lag_rows(source: str, spec: NonlinearSpec) -> str:
+    """Lag rows of a query that yields series and ``v``, numbered in all (``pos``, ``n``) and among lag rows (``rw``, ``rws``)."""
+    k, h = spec.look_back, spec.horizon
+    lags = ", ".join(f"lag(v, {j}) OVER {_W} AS l{j}" for j in range(1, k + 1))
+    return f"""SELECT *, CAST(pos - {k + 1} AS BIGINT) AS rw, n - {k + 1} - {h - 1} AS rws FROM (
+      SELECT *, {lags}, lead(v, {h - 1}) OVER {_W} AS y FROM ({source})) WHERE pos >= {k + 2} AND pos + {h - 1} <= n"""
+
+
+_EV_DIFFS = f"SELECT series_id, ts, v, pos - 1 AS pos, n - 1 AS n FROM ({sql_scaled(sql_ix(EV))}) WHERE pos > 1"
+FEW = NonlinearSpec(look_back=4, units=3)
+SEEDED = NonlinearSpec(look_back=3, units=4, horizon=1)
+FAMILY_UNITS = NonlinearSpec(look_back=2, units=3)
+SEEDS = list(range(1, 11))
+_TRAIN60 = "floor(CAST(0.6 AS DOUBLE) * rws)"
+
+
+def _nonlinear_forecast_sql():
+    rows, inputs = _lag_rows(_EV_DIFFS, FEW), [f"l{j}" for j in range(1, 5)]
+    pred = _nonlinear_sql(f"SELECT * FROM ({rows}) WHERE rw <= {_TRAIN60}", f"SELECT * FROM ({rows}) WHERE rw > {_TRAIN60}",
+                          "series_id", inputs, ["y"], FEW, (7, 8))
+    return f"SELECT series_id, seed, {sql_stamp()} AS ts, {sql_r('predicted', 5)} AS predicted, {sql_r('actual', 5)} AS actual FROM ({pred})"
+
+
+@query("nonlinear_forecast", _nonlinear_forecast_sql())
 def nonlinear_forecast(spark, sf_dir):
     diffs = SC.scale_log_difference(events_hourly(spark, sf_dir), by=HOURLY.keys, panel=HOURLY)
-    pred = nonlinear_ar(diffs, look_back=4, seed=7, panel=HOURLY)
-    return pred.select("series_id", stamp("ts").alias("ts"), r("predicted").alias("predicted"), r("actual").alias("actual"))
+    pred = nonlinear_ar(diffs, FEW, seeds=(7, 8), panel=HOURLY).filter("seed IS NOT NULL")
+    return pred.select("series_id", "seed", stamp("ts").alias("ts"), r("predicted", 5).alias("predicted"), r("actual", 5).alias("actual"))
+
+
+def _family_scores_sql():
+    def side(part):
+        diffs = ", ".join(f"lag(d{i}, {j}) OVER {_C} AS l{j}_{i}" for j in (1, 2) for i in (1, 2))
+        logs = f"SELECT * EXCLUDE (pos, cnt), pos - 1 AS pos, cnt - 1 AS n FROM ({_var_logs(_side(LI2, part), 2, MEMBER)}) WHERE pos > 1"
+        return f"SELECT *, pos - 3 AS rw, n - 3 AS rws FROM (SELECT *, {diffs}, d1 AS y1, d2 AS y2 FROM ({logs})) WHERE pos >= 4"
+    pred = _nonlinear_sql(f"SELECT * FROM ({side('train')}) WHERE rw <= {_TRAIN60}", side("test"), "center",
+                          ["l1_1", "l1_2", "l2_1", "l2_2"], ["y1", "y2"], FAMILY_UNITS, (1, 2, 3))
+    return metrics_sql(pred, by="center, seed", part="center, seed, member")
+
+
+@query("nonlinear_neighborhoods", _family_scores_sql())
+def nonlinear_neighborhoods(spark, sf_dir):
+    """Nonlinear models of every neighbourhood's lags, fitted per centre."""
+    ix = index_panel(_supplier_families(spark, sf_dir, 2), _DAILY_CENTER)
+    train, test = (log_difference_matrix(S.take_split(ix, part, 0.8, _DAILY_CENTER), MEMBER, _DAILY_CENTER) for part in ("train", "test"))
+    models = nonlinear_fit(train, FAMILY_UNITS, (1, 2, 3), _DAILY_CENTER)
+    pred = nonlinear_predict(test, models, FAMILY_UNITS, _DAILY_CENTER).filter("seed IS NOT NULL")
+    found = M.forecast_metrics(pred, ["center", "seed"], 1, _DAILY_CENTER.with_keys("center", "seed", "member"))
+    return scores(found, "center", "seed")
 
 
 # --- ARMA grid ---------------------------------------------------------------------------
@@ -386,19 +551,28 @@ def evaluation_grid(spark, sf_dir):
 
 
 @query("evaluation_report", f"""
-  SELECT type, {', '.join(f"printf('%.4f+/-%.4f', avg({m}), stddev_pop({m})) AS {m}" for m in M.METRICS)}
+  SELECT type, {', '.join(f"printf('%f+/-%f', avg({m}), stddev_pop({m})) AS {m}" for m in M.METRICS)}
   FROM ({_grid_sql(rounded=False)}) GROUP BY type""")
 def evaluation_report(spark, sf_dir):
     grid = evaluate_grid(events_hourly(spark, sf_dir), MODELS, panel=HOURLY)
-    report = M.metrics_report(grid, by=("type",))
-    texts = [F.format_string("%.4f+/-%.4f", f"{m}_avg", f"{m}_sd").alias(m) for m in M.METRICS]
     path = scratch(spark, "report")
-    write_report(report.select("type", *texts), path)
+    write_report(M.metrics_report(grid, by=("type",)).select("type", *M.METRICS), path)
     return spark.read.csv(path, sep="\t", header=True)
 
 
-@query("seed_report")
+def _seed_sql():
+    def side(part):
+        cut = f"SELECT series_id, ts, v, pos FROM ({_EV_DIFFS}) WHERE pos {'<=' if part == 'train' else '>'} floor(CAST(0.8 AS DOUBLE) * n)"
+        return _lag_rows(f"SELECT series_id, ts, v, row_number() OVER {_W} AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM ({cut})", SEEDED)
+    pred = _nonlinear_sql(f"SELECT * FROM ({side('train')}) WHERE rw <= {_TRAIN60}", side("test"), "series_id", ["l1", "l2", "l3"], ["y"],
+                          SEEDED, SEEDS)
+    found = metrics_sql(pred, by="series_id, seed", part="series_id, seed", rounded=False)
+    shown = ", ".join(f"printf('%f+/-%f', avg({m}), stddev_pop({m})) AS {m}" for m in M.METRICS)
+    return f"SELECT series_id, 'nonlinear' AS type, {shown} FROM ({found}) GROUP BY series_id"
+
+
+@query("seed_report", _seed_sql())
 def seed_report(spark, sf_dir):
     diffs = SC.scale_log_difference(events_hourly(spark, sf_dir), by=HOURLY.keys, panel=HOURLY)
-    runs = evaluate_seeds(diffs, look_back=3, seeds=list(range(1, 11)), panel=HOURLY)
-    return M.metrics_report(runs, by=("series_id", "type"))
+    runs = evaluate_seeds(diffs, SEEDED, SEEDS, panel=HOURLY)
+    return M.metrics_report(runs, by=("series_id", "type")).select("series_id", "type", *M.METRICS)

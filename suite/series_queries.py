@@ -8,10 +8,10 @@ from panelcast.operators import metrics as M
 from panelcast.operators import scale as SC
 from panelcast.operators import series as S
 from panelcast.operators.index import index_panel
-from panelcast.plans.datasets import train_test_panel
+from panelcast.plans.datasets import train_test_lists, train_test_panel
 from suite.registry import query
-from suite.tables import (DAILY, EV, HOURLY, LI, ORD, RAW, RAW_EV, events_hourly, events_raw, priority_daily, r,
-                          sql_ix, sql_r, sql_scaled, sql_stamp, stamp, supplier_daily)
+from suite.tables import (DAILY, EV, HOURLY, LI, LI_NAMES, ORD, RAW, RAW_EV, events_hourly, events_raw, families, priority_daily, r,
+                          sql_family_rows, sql_ix, sql_r, sql_scaled, sql_stamp, stamp, supplier_daily, supplier_names)
 
 _W = "(PARTITION BY series_id ORDER BY ts)"
 
@@ -86,6 +86,38 @@ def train_test_log_differences(spark, sf_dir):
     return rows.select("series_id", "split", stamp("ts").alias("ts"), F.col("pos").cast("bigint").alias("pos"), r("value").alias("value"))
 
 
+# one cut at the hours that all members of a list have
+_LISTS = f"""SELECT *, row_number() OVER (PARTITION BY center ORDER BY ts) AS rn, count(*) OVER (PARTITION BY center) AS cnt
+  FROM ({sql_family_rows(LI, LI_NAMES, 3)})"""
+_LIST_ROWS = " UNION ALL ".join(
+    f"""SELECT center, {i - 1} AS member, ts, x{i} AS value, CASE WHEN rn <= floor(CAST(0.8 AS DOUBLE) * cnt) THEN 'train' ELSE 'test' END AS split
+  FROM ({_LISTS})""" for i in (1, 2, 3))
+
+
+def _z_sql(c: str) -> str:
+    return (f"({c} - avg({c}) FILTER (WHERE split = 'train') OVER s) / "
+            f"coalesce(nullif(stddev_pop({c}) FILTER (WHERE split = 'train') OVER s, 0), 1)")
+
+
+@query("train_test_lists_normalized", f"""
+  SELECT center, member, split, {sql_stamp()} AS ts, {', '.join(f"{sql_r(c)} AS {c}" for c in ("value", "month", "weekday"))} FROM (
+    SELECT center, member, split, ts, {_z_sql('value')} AS value, {_z_sql('m')} AS month, {_z_sql('d')} AS weekday
+    FROM (SELECT *, month(ts) AS m, isodow(ts) - 1 AS d FROM ({_LIST_ROWS})) WINDOW s AS (PARTITION BY center, member))""")
+def train_test_lists_normalized(spark, sf_dir):
+    rows = train_test_lists(supplier_daily(spark, sf_dir), families(supplier_names(spark, sf_dir), 3), normalize=True, include_calendar=True,
+                            panel=DAILY)
+    return rows.select("center", "member", "split", stamp("ts").alias("ts"), *[r(c).alias(c) for c in ("value", "month", "weekday")])
+
+
+@query("train_test_lists_log_differences", f"""
+  SELECT center, member, split, {sql_stamp()} AS ts, pos - 1 AS pos, {sql_r('v')} AS value FROM (
+    SELECT *, ln(value) - lag(ln(value)) OVER w AS v, row_number() OVER w AS pos FROM ({_LIST_ROWS})
+    WINDOW w AS (PARTITION BY center, member, split ORDER BY ts)) WHERE pos > 1""")
+def train_test_lists_log_differences(spark, sf_dir):
+    rows = train_test_lists(supplier_daily(spark, sf_dir), families(supplier_names(spark, sf_dir), 3), log_differences=True, panel=DAILY)
+    return rows.select("center", "member", "split", stamp("ts").alias("ts"), F.col("pos").cast("bigint").alias("pos"), r("value").alias("value"))
+
+
 # --- differences -------------------------------------------------------------------------
 
 def _difference_sql(panel, lag, digits):

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.operators.index import global_position
 from panelcast.operators.reshape import node_catalog
 from panelcast.panel import PANEL, Panel
 from panelcast.session import ensure_checkpoint_dir
@@ -105,6 +106,15 @@ def label_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_labels(spark, sf_dir).select(F.col("label").alias("node")).distinct()
 
 
+def families(names: DataFrame, size: int) -> DataFrame:
+    """Every name as a centre with the next ``size - 1`` names in order, going round: ``(center, node, is_center)``."""
+    placed = global_position(names.select("node"), ["node"])
+    count = placed.select(F.count(F.lit(1))).scalar()
+    asked = placed.select(F.col("node").alias("center"), "rank", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("step"))
+    asked = asked.filter(F.col("step") < count).select("center", (F.col("step") == 0).alias("is_center"), ((F.col("rank") + F.col("step")) % count).alias("rank"))
+    return asked.join(placed, "rank").select("center", "node", "is_center")
+
+
 def load_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight zone columns per hour, named as in the actual-load file."""
     from panelcast.sources.readers import load_zones
@@ -151,6 +161,25 @@ def sql_ix(panel_sql: str, extra: str = "") -> str:
   count(*) OVER (PARTITION BY series_id) AS n{extra} FROM ({panel_sql})"""
 
 
+def sql_families(names: str, size: int) -> str:
+    """The families of a query that yields ``node``, with each member's ``place``: the centre first, then by name."""
+    ranked = f"SELECT node, row_number() OVER (ORDER BY node) - 1 AS rk, count(*) OVER () AS names FROM ({names})"
+    return f"""SELECT a.node AS center, b.node AS node, row_number() OVER (PARTITION BY a.node ORDER BY b.rk <> a.rk, b.node) AS place
+      FROM ({ranked}) a CROSS JOIN range(0, {size}) s(j) JOIN ({ranked}) b ON b.rk = (a.rk + j) % a.names WHERE j < a.names"""
+
+
+def sql_family_rows(panel: str, names: str, size: int) -> str:
+    """``(center, ts, x1, x2, ...)`` of the hours that every member has."""
+    cells = ", ".join(f"max(CASE WHEN place = {i} THEN value END) AS x{i}" for i in range(1, size + 1))
+    full = " AND ".join(f"x{i} IS NOT NULL" for i in range(1, size + 1))
+    return f"""SELECT * FROM (SELECT center, ts, {cells} FROM ({sql_families(names, size)}) f JOIN ({panel}) p ON p.series_id = f.node
+      GROUP BY center, ts) WHERE {full}"""
+
+
+EV_NAMES = "SELECT DISTINCT event_type AS node FROM events"
+LI_NAMES = "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS node FROM lineitem"
+
+
 def sql_scaled(source: str, part: str = "series_id", order: str = "ts") -> str:
     """A panel query with min-max scaling to [1, own max] and the log difference ``v``."""
     return f"""SELECT *, ln(s) - lag(ln(s)) OVER (PARTITION BY {part} ORDER BY {order}) AS v FROM (

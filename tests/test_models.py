@@ -1,23 +1,24 @@
 """Model operators against numpy, written from the formulas."""
 
+import datetime as dt
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import BLOCKS, GRID, LAYOUTS, by_series, panel_of, skewed
+from helpers import BLOCKS, GRID, LAYOUTS, START, by_series, panel_of, skewed
 from panelcast.models.ar import ARSpec, ar_ridge_fit, ar_ridge_predict, recursive_forecast
 from panelcast.models.arma import arma_grid_posterior, arma_residual_ss
-from panelcast.models.nonlinear import nonlinear_ar
-from panelcast.models.scoring import score_windows
-from panelcast.models.var import VARSpec, to_matrix, var_ridge_fit, var_ridge_predict
+from panelcast.models.nonlinear import NonlinearSpec, hidden_layer, nonlinear_ar
+from panelcast.models.scoring import roll_forward, score_panel, score_windows
+from panelcast.models.var import VARSpec, to_matrix, var_recursive_forecast, var_ridge_fit, var_ridge_predict
 from panelcast.operators import metrics as M
 from panelcast.operators import scale as SC
 from panelcast.operators import series as S
 from panelcast.operators.graph import neighbor_panel
 from panelcast.panel import MATRIX, Panel
-from panelcast.plans.datasets import train_test_rows
+from panelcast.plans.datasets import train_test_lists, train_test_rows
 from panelcast.plans.evaluation import evaluate_ar, evaluate_grid, evaluate_seeds, evaluate_var
 
 
@@ -245,22 +246,139 @@ def test_score_windows(spark):
     assert got["s"][0] == ([0, 1, 2], 5.0) and len(got["s"]) == 6
 
 
-def test_boosted_trees_learn_a_nonlinear_rule(spark):
+def logistic_map(n=400):
     x = [0.3]
-    for _ in range(400):
+    for _ in range(n):
         x.append(3.7 * x[-1] * (1 - x[-1]))
-    df = panel_of(spark, {"s": x})
-    row = M.forecast_metrics(nonlinear_ar(df, 2, panel=GRID), panel=GRID).first()
-    assert row.mase < 0.3 and row.hit_rate > 0.9
-    again = M.forecast_metrics(nonlinear_ar(df, 2, panel=GRID), panel=GRID).first()
-    assert again.mae == pytest.approx(row.mae)
-    runs = evaluate_seeds(df, 2, [1, 2], panel=GRID)
-    report = M.metrics_report(runs, ("series_id", "type")).first()
-    maes = [r.mae for r in runs.collect()]
+    return x
+
+
+def test_hidden_units_learn_a_nonlinear_rule_under_every_seed(spark):
+    df = panel_of(spark, {"s": logistic_map(), "t": logistic_map(300)[::-1], "short": [0.1, 0.2, 0.3]})
+    spec = NonlinearSpec(look_back=2, units=60, alpha=1e-4)
+    runs = evaluate_seeds(df, spec, [1, 2], panel=GRID)
+    rows = {(r.series_id, r.run): r for r in runs.collect()}
+    assert set(rows) == {("s", 1), ("s", 2), ("t", 1), ("t", 2), ("short", None)}
+    assert rows["s", 1].mase < 0.1 and rows["s", 2].mase < 0.1 and rows["s", 1].mae != rows["s", 2].mae
+    assert rows["short", None].mae is None
+    report = M.metrics_report(runs.filter("series_id = 's'"), ("series_id", "type")).first()
+    maes = [rows["s", k].mae for k in (1, 2)]
     assert report.mae_avg == pytest.approx(np.mean(maes)) and report.mae_sd == pytest.approx(np.std(maes))
     assert report.mae == "%f+/-%f" % (np.mean(maes), np.std(maes))
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_nonlinear_models_equal_numpy(spark, layout):
+    series, hours = skewed(21)
+    series = {s: list(np.diff(np.log(v))) for s, v in series.items()}
+    hours = {s: h[1:] for s, h in hours.items()}
+    spec = NonlinearSpec(look_back=3, horizon=2, units=7, alpha=0.5)
+    got = {(r.series_id, r.seed, r.pos): r for r in nonlinear_ar(panel_of(spark, series, hours), spec, (5, 9), layout).collect()}
+    want = {}
+    for s, v in series.items():
+        places = range(4, len(v) - 1)
+        x = np.array([[v[i - 1], v[i - 2], v[i - 3]] for i in places])
+        y = np.array([v[i + 1] for i in places])
+        stop = int(np.floor(0.6 * len(y)))
+        for seed in (5, 9):
+            w, b = hidden_layer(seed, 3, 7)
+            h = np.maximum(x @ w.T + b, 0)
+            hc, yc = h[:stop] - h[:stop].mean(0), y[:stop] - y[:stop].mean()
+            beta = np.linalg.solve(hc.T @ hc + 0.5 * np.eye(7), hc.T @ yc)
+            pred = h @ beta + y[:stop].mean() - h[:stop].mean(0) @ beta
+            want.update({(s, seed, k + 1): (pred[k], y[k]) for k in range(stop, len(y))})
+    assert set(got) == set(want)
+    for key, (pred, actual) in want.items():
+        assert got[key].predicted == pytest.approx(pred, abs=1e-9) and got[key].actual == pytest.approx(actual)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_score_panel_equals_stored_windows(spark, layout):
+    series, hours = skewed(22)
+    df = panel_of(spark, series, hours)
+    model = lambda past: past @ np.arange(1.0, 12.0)
+    want = by_series(score_windows(S.sliding_sequences(df, 11, 2, layout), model), "pos", "predicted", "target")
+    got = by_series(score_panel(df, model, 11, 2, layout), "pos", "predicted", "actual")
+    assert set(got) == set(want)
+    assert all(g == pytest.approx(w) for s in want for g, w in zip(got[s], want[s])) and all(len(got[s]) == len(want[s]) for s in want)
+
+
+def test_windows_with_missing_values_and_keys(spark):
+    rows = [(None, START + dt.timedelta(hours=h), None if h == 3 else float(h)) for h in range(8)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double")
+    got = score_panel(df, lambda past: past.sum(1), 2, 1, BLOCKS).orderBy("pos").select("series_id", "predicted", "actual").collect()
+    assert [tuple(r) for r in got] == [(None, 1.0, 2.0), (None, 3.0, None), (None, None, 4.0), (None, None, 5.0), (None, 9.0, 6.0)]
+    assert score_panel(df.filter("false"), lambda past: past.sum(1), 2, 1, GRID).collect() == []
+
+
+def pair_matrix(spark, seed=31, hours=60):
+    rng = np.random.default_rng(seed)
+    values = np.exp(rng.normal(3, 0.3, (hours, 2))).round(3)
+    rows = [("c", START + dt.timedelta(hours=h), [float(a), float(b)]) for h, (a, b) in enumerate(values)]
+    return values, spark.createDataFrame(rows, "center string, ts timestamp_ntz, values array<double>")
+
+
+MATRICES = [GRID.with_keys("center").with_value("values"), BLOCKS.with_keys("center").with_value("values")]
+
+
+@pytest.mark.parametrize("layout", MATRICES)
+def test_vector_recursion_equals_a_linear_window_model(spark, layout):
+    values, matrix = pair_matrix(spark)
+    spec = VARSpec(look_back=3, log_difference=False, train_fraction=1.0)
+    coef = var_ridge_fit(matrix, spec, layout)
+    path = {(r.origin, r.step, r.member): r.predicted for r in var_recursive_forecast(matrix, coef, 4, spec, layout).collect()}
+    found = coef.first()["coefs"]
+    w, b = np.array([c["weights"] for c in found]), np.array([c["intercept"] for c in found])
+
+    def linear(past):  # oldest first
+        return past[:, ::-1].reshape(len(past), -1) @ w.T + b
+
+    rolled = {(r.origin, r.step, r.member): r.predicted for r in roll_forward(matrix, linear, 3, 4, layout).collect()}
+    assert len(path) == 58 * 4 * 2 and set(rolled) == set(path)
+    assert all(path[k] == pytest.approx(rolled[k]) for k in path)
+    past = values[:3].copy()
+    for step in range(1, 5):
+        ahead = w @ past[::-1].ravel() + b
+        assert [path[START + dt.timedelta(hours=2), step, m] for m in (0, 1)] == pytest.approx(list(ahead))
+        past = np.vstack([past[1:], ahead])
+
+
+@pytest.mark.parametrize("scaling", ["joint", "member", "member_plus_one"])
+@pytest.mark.parametrize("horizon", [1, 2, 3])
+def test_vector_forecasts_come_back_in_prices(spark, scaling, horizon):
+    values, matrix = pair_matrix(spark, 32)
+    spec = VARSpec(look_back=2, horizon=horizon, scaling=scaling)
+    layout = MATRICES[1]
+    rows = var_ridge_predict(matrix, var_ridge_fit(matrix, spec, layout), spec, layout, restore=True).orderBy("member", "ts").collect()
+    assert len(rows) == 2 * (60 - 4 - (horizon - 1))
+    low, high = values.min(0), values.max(0)
+    upper = {"joint": np.full(2, high.max()), "member": high, "member_plus_one": high + 1}[scaling]
+    logs = np.log(1 + (values - low) * (upper - 1) / (high - low))
+    for r in rows:
+        at = (r.ts - START).total_seconds() / 3600 + horizon - 1
+        m, at = r.member, int(at)
+        assert r.restored_actual == pytest.approx(values[at, m]) and r.actual == pytest.approx(logs[at, m] - logs[at - 1, m])
+        level = np.exp(r.predicted + logs[at - 1, m])
+        assert r.restored == pytest.approx(low[m] + (level - 1) * (high[m] - low[m]) / (upper[m] - 1))
+
+
+def test_lists_are_cut_at_one_common_hour(spark):
+    series = {"a": [1.0, 2, 3, 4, 5, 6], "b": [10.0, 20, 30, 40, 50], "c": [7.0] * 6}
+    hours = {"a": [0, 1, 2, 3, 4, 5], "b": [1, 2, 3, 4, 6], "c": [0, 1, 2, 3, 4, 5]}
+    lists = spark.createDataFrame([("x", "a", True), ("x", "b", False), ("y", "c", True), ("y", "a", False)], "center string, node string, is_center boolean")
+    rows = train_test_lists(panel_of(spark, series, hours), lists, 0.5).collect()
+    got = {(r.center, r.member, r.ts.hour): (r.value, r.split, r.pos, r.n) for r in rows}
+    assert {k: v for k, v in got.items() if k[0] == "x"} == {
+        ("x", m, h): (v, split, pos, 2) for m, vs in enumerate([[2, 3, 4, 5], [10, 20, 30, 40]])
+        for h, v, split, pos in zip((1, 2, 3, 4), vs, ("train", "train", "test", "test"), (1, 2, 1, 2))}
+    z = train_test_lists(panel_of(spark, series, hours), lists, 0.5, normalize=True, include_calendar=True)
+    shown = {(r.center, r.member, r.ts.hour): (r.value, r.hour) for r in z.collect()}
+    assert shown["x", 0, 4] == pytest.approx((5.0, 5.0)) and shown["y", 0, 5][0] == 0.0
+    logs = train_test_lists(panel_of(spark, series, hours), lists, 0.5, log_differences=True).collect()
+    assert {(r.center, r.member, r.split): r.value for r in logs if r.center == "x"} == pytest.approx(
+        {("x", 0, "train"): np.log(1.5), ("x", 0, "test"): np.log(1.25), ("x", 1, "train"): np.log(2), ("x", 1, "test"): np.log(4 / 3)})
+
+
 def test_identities(spark):
     series, hours = skewed(11)
     df = panel_of(spark, series, hours)
