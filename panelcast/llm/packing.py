@@ -5,8 +5,9 @@ partitions as their number needs. Each partition packs its items by best fit, la
 that are nearly full. Underfull bins go on as items to fewer partitions, in rounds, until one partition holds all or a
 round no longer gains anything. A partition holds a bounded number of items, whatever the input.
 
-White space ends every token, so a text's ids are those of its words between white space. Each different word of a
-slice is encoded once, and a bounded cache keeps it for the next slices.
+Where white space ends every token, a text's ids are those of its words between white space: each different word of a
+slice is encoded once, and a bounded cache keeps it for the next slices. Such properties are tried on the tokenizer; texts go
+to one that lacks them as a whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import text as tx
+from panelcast.llm import words as wd
 from panelcast.llm.tables import stored
 
 CAPACITY = 2048
@@ -31,7 +34,8 @@ SLACK = 16
 ITEMS = 40_000
 CACHED_WORDS = 800_000
 SLICE_BYTES = 3 << 20
-MARKS = set(".,;:!?")
+MARKS = ".,;:!?"
+TOGETHER = 1000
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -41,43 +45,87 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@dataclass(frozen=True)
+class Traits:
+    """What a tokenizer's words may be taken apart by; each is tried on the tokenizer itself."""
+
+    spaced: bool  # white space ends every token and has none of its own
+    lower: bool  # ASCII letters have the ids of their lower case
+    apart: frozenset  # punctuation marks that are encoded apart from the letters before them
+    last: np.ndarray | None  # by id: whether the token ends a word
+
+
 @lru_cache(1)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
 
+    def ids(text):
+        return tokenizer.encode(text, add_special_tokens=False).ids
 
-def _plain(word: str) -> str:
-    """The word in lower case where that surely has the same ids: ASCII, and no special token."""
-    return word.lower() if word.isascii() and "<|" not in word else word
+    probes = ["word", "Other", "of", "xyzzy", "é"]
+    spaced = all(ids(f" {a}\n\t{b} ") == ids(a) + ids(b) for a in probes for b in probes)
+    lower = all(ids(a) == ids(b) for a, b in (("WORD", "word"), ("OF", "of"), ("XYZZY", "xyzzy"), ("éTUDE", "étude"), ("A\u0301B", "a\u0301b")))
+    apart = frozenset(m for m in MARKS if all(ids(w + m) == ids(w) + ids(m) for w in probes))
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    last = None
+    if suffix and spaced:
+        vocabulary = tokenizer.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return tokenizer, {}, Traits(spaced, lower, apart, last)
 
 
-def _parts(word: str) -> tuple[str, ...]:
+def _parts(word: str, traits: Traits) -> tuple[str, ...]:
     """Pieces that the tokenizer always encodes apart: letters, and a punctuation mark after them."""
-    return (word[:-1], word[-1]) if word[-1:] in MARKS and word[:-1].isalpha() else (word,)
-
-
-def word_ids(distinct: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    return (word[:-1], word[-1]) if word[-1:] in traits.apart and word[:-1].isalpha() else (word,)
+
+
+def _encode(words: list[str], tokenizer, last: np.ndarray | None) -> list[bytes]:
+    """The ids of each word. Words of letters go together where tokens show the ends of words: a call has its price."""
+    together = [w for w in words if w.isalpha()] if last is not None else []
+    found: dict[str, bytes] = {}
+    for at in range(0, len(together), TOGETHER):
+        part = together[at : at + TOGETHER]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) == len(part):  # each word has one end; a word with an end inside is encoded alone
+            raw, bounds = ids.tobytes(), (4 * np.append(0, ends)).tolist()
+            found.update(zip(part, [raw[low:high] for low, high in zip(bounds[:-1], bounds[1:])]))
+    alone = [w for w in words if w not in found]
+    for word, encoded in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+        found[word] = array("I", encoded.ids).tobytes()
+    return [found[w] for w in words]
+
+
+def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after the other, and how many each has."""
-    tokenizer, cache = _tokenizer(path)
-    words = [_plain(w) for w in distinct]
-    new = list({part for w in words if w not in cache for part in _parts(w)} - cache.keys())
+    tokenizer, cache, traits = _tokenizer(path)
+    new = list({part for w in words if w not in cache for part in _parts(w, traits)} - cache.keys())
     if len(cache) + len(new) > CACHED_WORDS:
         cache.clear()
-        new = list({part for w in words for part in _parts(w)})
+        new = list({part for w in words for part in _parts(w, traits)})
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
-        for word, encoded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[word] = array("I", encoded.ids).tobytes()
-    raw = [cache[w] if w in cache else b"".join(cache[p] for p in _parts(w)) for w in words]
+        cache.update(zip(part, _encode(part, tokenizer, traits.last)))
+    raw = [cache[w] if w in cache else b"".join([cache[p] for p in _parts(w, traits)]) for w in words]
     return np.frombuffer(b"".join(raw), np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
 
 
 def token_ids(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows one after the other, each row's followed by `end_id`, and the bounds of the rows."""
-    split = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
+    tokenizer, _, traits = _tokenizer(path)
+    if not traits.spaced:  # whole texts, where words cannot be encoded for themselves
+        rows = [np.array(e.ids + [end_id], np.uint32)
+                for e in tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *rows]), np.cumsum([0, *map(len, rows)])
+    data, offsets = tx.byte_buffer(column)
+    if traits.lower:  # one form of each word; not where that would make a special token
+        special = np.repeat(pc.match_substring(column.fill_null(""), "<|").to_numpy(zero_copy_only=False), np.diff(offsets))
+        data = np.where(special, data, wd.LOWER[data]) if special.any() else wd.LOWER[data]
+    split = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(data)))
     coded = split.flatten().dictionary_encode()
     flat, sizes = word_ids(coded.dictionary.to_pylist(), path)
     flat, sizes = np.append(flat, np.uint32(end_id)), np.append(sizes, 1)
@@ -164,7 +212,7 @@ def _pack(capacity: int, slack: int, round_number: int):
         per_bin = np.bincount(bins, weights=np.diff(bounds)).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(per_bin)])
         out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), members.values.take(pa.array(places)))
-        base = (round_number << 56) + (TaskContext.get().partitionId() << 32)
+        base = (round_number << 48) + (TaskContext.get().partitionId() << 28)
         numbers = pa.array(base + np.arange(len(room)), pa.int64())
         yield pa.RecordBatch.from_arrays([numbers, pa.array(capacity - room, pa.int64()), out, pa.array(room <= slack)],
                                          names=["bin", "size", "members", "full"])
@@ -185,10 +233,10 @@ def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, slack
     while waiting:
         parts = -(-waiting // items_per_task)
         # items of each partition are a random share, so all have about the same mix of sizes
-        dealt = bins.repartition(parts, F.xxhash64("members")) if parts > 1 else bins.coalesce(1)
+        dealt = bins.repartition(parts, F.xxhash64("members", F.lit(number))) if parts > 1 else bins.coalesce(1)
         bins = stored(dealt.mapInArrow(_pack(capacity, slack, number), schema))
-        left = bins.where("NOT full").count()
-        last = parts == 1 or left > 0.99 * waiting or number >= 60
+        made, left = bins.agg(F.count("*"), F.count_if(~F.col("full"))).first()
+        last = parts == 1 or made == waiting  # a round that saves no bin is the last
         out = bins if last else bins.where("full")
         done = out if done is None else done.union(out)
         bins, waiting, number = bins.where("NOT full").select("size", "members"), 0 if last else left, number + 1
