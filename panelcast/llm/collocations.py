@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import text as tx
 from panelcast.llm import words as wd
-from panelcast.llm.tables import as_long, maybe_in, shared_folder, text_or_empty, written
+from panelcast.llm.tables import WIDE_ROWS, as_long, maybe_in, shared_folder, text_or_empty, written
 
 UNKNOWN = "und"
 BREAKS = wd.byte_set((0x0A, 0x0D), *((ord(c),) * 2 for c in ".,;:!?"))
@@ -176,7 +176,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     spark = docs.sparkSession
     top = shared_folder(spark, "phrases")
     rows = docs.select(text_or_empty(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    relation = written(rows.mapInArrow(_occurrences, WORD_ROWS), f"{top}/r1")
+    relation = written(rows.mapInArrow(_occurrences, WORD_ROWS), f"{top}/r1", WIDE_ROWS)
     groups = relation.select(F.inline("groups"))
     totals = groups.groupBy("lang").agg(F.sum("times").alias("n"))
     # rare words never travel as strings: their hashes are counted first
@@ -193,7 +193,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         counts = occurrences.mapInArrow(_count(frequent), "key bigint, times bigint").groupBy("key").agg(
             F.sum("times").alias("times")).where(F.col("times") >= least)
         counted = Members(written(counts, f"{top}/counts{k + 1}"))
-        relation = written(occurrences.mapInArrow(_extend(frequent, counted), PHRASE_ROWS), f"{top}/r{k + 1}")
+        relation = written(occurrences.mapInArrow(_extend(frequent, counted), PHRASE_ROWS), f"{top}/r{k + 1}", WIDE_ROWS)
         groups = relation.select(F.inline("groups")).groupBy("key", "left", "right").agg(F.sum("times").alias("a")).where(F.col("a") >= least)
         head = levels[-1].select(F.col("key").alias("left"), "lang", F.col("words").alias("front"), "heads")
         tail = levels[-1].select(F.col("key").alias("right"), F.element_at("words", -1).alias("last"), "tails")

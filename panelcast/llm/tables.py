@@ -57,7 +57,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return top
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+#: For rows of a megabyte and more: row groups of about 8 MB, measured every few rows, so that neither writer nor reader holds
+#: a hundred such rows at a time.
+WIDE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
+
+
+def written(df: DataFrame, path: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows as a Parquet table at `path`."""
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
