@@ -1,9 +1,10 @@
 """Quality rules with thresholds that adapt to language and source.
 
 Counts per document are built-in expressions on its words and lines. For every (language, source), every language and
-the whole table, mergeable quantile sketches give quartiles of four ratios; a document is held against those of its
-own group, or of the next larger one where its group is small. Bounds lie six half-quartile distances from the median
-on the side where junk lies, measured on the other side, so that up to half of a group may be junk.
+the whole table, mergeable quantile sketches give deciles of four ratios; a document is held against those of its
+own group, or of the next larger one where its group is small. A bound lies beyond the outer decile by six times that decile's
+distance from the median, so it follows the spread of its group as long as less than a tenth of it is junk; a ratio that does
+not spread at all may still differ from the median by a small fixed distance.
 """
 
 from __future__ import annotations
@@ -20,24 +21,25 @@ SYMBOLS = "#*$%&|<>"
 ACCURACY = 10_000
 MIN_GROUP = 100
 FENCE = 6
-#: Ratio, side on which it may fail, and the distance from the median that is always allowed.
+TAIL = 0.1
+#: Ratio, whether only high values fail, and the distance from the median that is always allowed.
 RULES = {
     "word_length": ("word_chars / n_words", 0, 1.0),
     "symbols": ("n_symbols / n_words", 1, 0.2),
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 1, 0.5),
-    "repeats": ("n_repeat_words / n_words", 1, 0.15),
+    "repeats": ("n_repeat_words / n_words", 1, 0.1),
 }
 
 
 def _repeat_words() -> Column:
     """Words in three-word windows found twice or more.
 
-    Each window becomes (hash, place) in one long; sorted, equal windows are neighbours. The places of windows with an
-    equal neighbour are united.
+    Each window becomes (64-bit hash, place); sorted, equal windows are neighbours. The places of windows with an equal
+    neighbour are united.
     """
     equal = F.expr("""
         filter(zip_with(slice(_codes, 1, size(_codes) - 1), slice(_codes, 2, size(_codes) - 1),
-                        (a, b) -> CASE WHEN a div n_words = b div n_words THEN named_struct('p', a % n_words, 'q', b % n_words) END),
+                        (a, b) -> CASE WHEN a.h = b.h THEN named_struct('p', a.i, 'q', b.i) END),
                x -> x IS NOT NULL)""")
     return F.when(F.expr("size(_codes) > 1"), equal)
 
@@ -56,7 +58,7 @@ def base_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"))
     codes = F.expr("""
         CASE WHEN n_words > 3 THEN sort_array(transform(sequence(0, int(n_words) - 3),
-            i -> pmod(xxhash64(_words[i], _words[i + 1], _words[i + 2]), 4611686018427387904 div n_words) * n_words + i)) END""")
+            i -> named_struct('h', xxhash64(_words[i], _words[i + 1], _words[i + 2]), 'i', cast(i as bigint)))) END""")
     rows = rows.withColumn("_codes", codes).drop("_words").withColumn("_equal", _repeat_words()).drop("_codes")
     places = F.array_sort(F.array_distinct(F.concat("_equal.p", "_equal.q")))
     rows = rows.withColumn("_places", F.coalesce(places, F.array().cast("array<bigint>"))).drop("_equal")
@@ -75,14 +77,14 @@ def thresholds(counted: DataFrame) -> DataFrame:
     """
     ratios = counted.where("NOT base_failed").select("lang", "source", *(F.expr(r).alias(name) for name, (r, _, _) in RULES.items()))
     sketched = ratios.rollup("lang", "source").agg(F.grouping_id().alias("id"), F.count("*").alias("rows"), *(
-        F.percentile_approx(name, [0.25, 0.5, 0.75], ACCURACY).alias(name) for name in RULES))
+        F.percentile_approx(name, [TAIL, 0.5, 1 - TAIL], ACCURACY).alias(name) for name in RULES))
     level = F.when(F.col("id") == 0, 0).when(F.col("id") == 1, 1).otherwise(2)
     bounds = []
     for name, (_, upper_only, slack) in RULES.items():
-        q1, q2, q3 = (F.col(name)[k] for k in range(3))
-        bounds.append((q2 + FENCE * (q2 - q1) + slack).alias(f"{name}_high"))
+        low, middle, high = (F.col(name)[k] for k in range(3))
+        bounds.append(F.greatest(high + FENCE * (high - middle), middle + slack).alias(f"{name}_high"))
         if not upper_only:
-            bounds.append((q2 - FENCE * (q3 - q2) - slack).alias(f"{name}_low"))
+            bounds.append(F.least(low - FENCE * (middle - low), middle - slack).alias(f"{name}_low"))
     return sketched.select(level.alias("level"), "lang", "source", "rows", *bounds)
 
 
@@ -90,8 +92,8 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lan
     """Columns `keep` with the counts, `base_failed` and `kept`.
 
     Defined results: a null text has no words and fails the base rules; null languages and sources are groups of their
-    own; repeated rows are judged each for itself; an empty table gives no rows; kept columns named like a count or
-    verdict are replaced by it.
+    own; repeated rows are judged each for itself; values equal to a bound are kept; texts of any length are counted whole; an
+    empty table gives no rows; kept columns named like a count or verdict are replaced by it.
     """
     results = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}
     keep = [c for c in keep if c not in results]

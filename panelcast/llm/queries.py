@@ -135,15 +135,16 @@ b AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(word_chars AS DOUBLE) / n_words AS a,
       CAST(n_symbols AS DOUBLE) / n_words AS s, CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS u,
       CAST(n_repeat_words AS DOUBLE) / n_words AS r FROM b),
-q AS (SELECT lang, source, grouping(lang, source) AS id, count(*) AS n, quantile_disc(a, [0.25, 0.5, 0.75]) AS a,
-      quantile_disc(s, [0.25, 0.5, 0.75]) AS s, quantile_disc(u, [0.25, 0.5, 0.75]) AS u, quantile_disc(r, [0.25, 0.5, 0.75]) AS r
+q AS (SELECT lang, source, grouping(lang, source) AS id, count(*) AS n, quantile_disc(a, [0.1, 0.5, 0.9]) AS a,
+      quantile_disc(s, [0.1, 0.5, 0.9]) AS s, quantile_disc(u, [0.1, 0.5, 0.9]) AS u, quantile_disc(r, [0.1, 0.5, 0.9]) AS r
       FROM f WHERE NOT base_failed GROUP BY ROLLUP (lang, source)),
 k AS (SELECT f.*, coalesce(q0.a, q1.a, q2.a) AS qa, coalesce(q0.s, q1.s, q2.s) AS qs, coalesce(q0.u, q1.u, q2.u) AS qu, coalesce(q0.r, q1.r, q2.r) AS qr
       FROM f LEFT JOIN q q0 ON q0.id = 0 AND q0.n >= 100 AND q0.lang IS NOT DISTINCT FROM f.lang AND q0.source IS NOT DISTINCT FROM f.source
       LEFT JOIN q q1 ON q1.id = 1 AND q1.n >= 100 AND q1.lang IS NOT DISTINCT FROM f.lang LEFT JOIN q q2 ON q2.id = 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(
-    a <= qa[2] + 6 * (qa[2] - qa[1]) + 1.0 AND a >= qa[2] - 6 * (qa[3] - qa[2]) - 1.0 AND s <= qs[2] + 6 * (qs[2] - qs[1]) + 0.2
-    AND u <= qu[2] + 6 * (qu[2] - qu[1]) + 0.5 AND r <= qr[2] + 6 * (qr[2] - qr[1]) + 0.15, false) AS kept
+    a <= greatest(qa[3] + 6 * (qa[3] - qa[2]), qa[2] + 1.0) AND a >= least(qa[1] - 6 * (qa[2] - qa[1]), qa[2] - 1.0)
+    AND s <= greatest(qs[3] + 6 * (qs[3] - qs[2]), qs[2] + 0.2) AND u <= greatest(qu[3] + 6 * (qu[3] - qu[2]), qu[2] + 0.5)
+    AND r <= greatest(qr[3] + 6 * (qr[3] - qr[2]), qr[2] + 0.1), false) AS kept
 FROM k
 """)
 def adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
