@@ -3,17 +3,18 @@
 The relation R_k has a row (position, phrase) for each occurrence of a phrase of k words whose parts are frequent. It is
 stored as Parquet in blocks of whole pieces of text, sorted by piece and position, so a merge join of neighbouring
 positions never leaves a block and shuffles nothing. Two words of different pieces are never neighbours, as each new
-piece skips a position. One length is done in four steps:
+piece skips a position. R_1 comes from the texts, read once to count words and once to store the frequent ones. Each
+further length is done in four steps:
 
 1. rows whose phrase is not frequent are left out (semi-join),
 2. neighbouring rows of R_k, at p and p + 1, make the candidates of k + 1 words (merge join),
-3. candidates are counted, first in the task, then by a shuffle of one row per phrase and task (group count),
+3. candidates are counted, first in the task, then by a shuffle of one entry per phrase and task (group count),
 4. the candidates found often enough are written as R_{k+1}.
 
 The semi-joins use bitmaps of a size between 8 KB and 16 MB, whatever the data; a phrase let through by chance costs
 space, never a wrong row, because the groups themselves are counted by their two parts and kept by their exact count.
 Words are compared as strings, phrases by the 64-bit hashes of their parts: counts are exact unless two frequent phrases
-share a hash.
+share a hash. Counts travel in packets: the sorted hashes of a bucket as compressed differences.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm import text as tx
 from panelcast.llm import words as wd
-from panelcast.llm.tables import WIDE_ROWS, as_long, maybe_in, shared_folder, text_or_empty, written
+from panelcast.llm.tables import WIDE_ROWS, as_long, shared_folder, text_or_empty, written
 
 UNKNOWN = "und"
 BREAKS = wd.byte_set((0x0A, 0x0D), *((ord(c),) * 2 for c in ".,;:!?"))
@@ -37,46 +39,157 @@ HELD = 1 << 20
 BITS = (16, 27)
 BUCKETS = 64
 RESULT = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
+PACKET = "bucket bigint, packet binary"
+PACKETS = pa.schema([("bucket", pa.int64()), ("packet", pa.binary())])
+KEYS_PER_BUCKET = 1 << 16
 WORDS = pa.schema([("pos", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("groups", pa.list_(pa.struct(
-    [("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("times", pa.int64())])))])
-WORD_ROWS = "pos array<int>, place array<int>, groups array<struct<lang: string, word: string, key: bigint, times: bigint>>"
+    [("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("times", pa.int64())]))),
+    ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
+WORD_ROWS = ("pos array<int>, place array<int>, groups array<struct<lang: string, word: string, key: bigint, times: bigint>>, "
+             "totals array<struct<lang: string, n: bigint>>")
 PHRASES = pa.schema([("pos", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("groups", pa.list_(pa.struct(
     [("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("times", pa.int64())])))])
 PHRASE_ROWS = "pos array<int>, place array<int>, groups array<struct<key: bigint, left: bigint, right: bigint, times: bigint>>"
 COUNTS = pa.schema([("key", pa.int64()), ("times", pa.int64())])
 
 
-def _row(schema: pa.Schema, pos: np.ndarray, place: np.ndarray, groups: list) -> pa.RecordBatch:
-    """One block of a relation as a row: positions, each with its phrase's place among the block's ``groups``."""
+def _row(schema: pa.Schema, pos: np.ndarray, place: np.ndarray, *lists: list) -> pa.RecordBatch:
+    """One block of a relation as a row: positions, each with its phrase's place among the block's groups, and lists of structs."""
     def whole(values):
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    parts = pa.StructArray.from_arrays([pa.array(g, f.type) for g, f in zip(groups, schema.field("groups").type.value_type)],
-                                       fields=list(schema.field("groups").type.value_type))
-    return pa.RecordBatch.from_arrays([whole(pa.array(pos, pa.int32())), whole(pa.array(place, pa.int32())), whole(parts)], schema=schema)
+    columns = [whole(pa.array(pos, pa.int32())), whole(pa.array(place, pa.int32()))]
+    for field, parts in zip(list(schema)[2:], lists):
+        fields = list(field.type.value_type)
+        columns.append(whole(pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, fields)], fields=fields)))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-@tx.tidy
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """R_1 of each block: positions and hashes of all words, and how often each (language, word) occurs."""
-    for batch in tx.slices(batches, "text", BLOCK_BYTES):
+class _Block:
+    """The words of a slice of texts: positions, and for each word its place among the different (language, word)."""
+
+    def __init__(self, batch: pa.RecordBatch):
         data, offsets = tx.byte_buffer(batch.column("text"))
         data = wd.LOWER[data]
         breaks = BREAKS[data]
         inside = ~(breaks | SPACES[data])
         starts, ends, first = wd.word_spans(inside, offsets)
-        if not len(starts):
-            continue
         row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        piece = np.cumsum(breaks)[starts] + row  # grows with every break and row
-        pos = np.arange(len(starts)) + piece
-        words, different = wd.encode(data, inside, starts, ends)
+        piece = np.cumsum(breaks, dtype=np.int32)[starts] + row  # grows with every break and row
+        self.pos = np.arange(len(starts)) + piece
+        words, self.words = wd.encode(data, inside, starts, ends)
         languages = batch.column("lang").dictionary_encode()
-        pair = languages.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64) * len(different) + words
-        groups, place, times = np.unique(pair, return_inverse=True, return_counts=True)
-        language, word = groups // len(different), groups % len(different)
-        hashes = tx.mix(wd.hash_words(different)[word] * tx.BASE + wd.hash_words(languages.dictionary)[language])
-        yield _row(WORDS, pos, place, [
-            languages.dictionary.take(pa.array(language)), different.take(pa.array(word)).cast(pa.string()), as_long(hashes), times])
+        self.languages = languages.dictionary
+        of_row = languages.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.counts = np.bincount(of_row, np.diff(first), len(self.languages)).astype(np.int64)
+        pair = of_row[row] * max(1, len(self.words)) + words
+        groups, self.place, self.times = np.unique(pair, return_inverse=True, return_counts=True)
+        self.language, self.word = groups // max(1, len(self.words)), groups % max(1, len(self.words))
+        self.keys = tx.mix(wd.hash_words(self.words)[self.word] * tx.BASE + wd.hash_words(self.languages)[self.language])
+
+
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes, in order, and their counts."""
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.argsort(keys)
+    keys, times = keys[order], np.concatenate([p[1] for p in parts])[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _packets(keys: np.ndarray, times: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted hashes with counts, a packet for each bucket of equal first bits."""
+    shift = np.uint64(64 - bits)
+    bucket = keys >> shift
+    steps = np.diff(keys, prepend=np.uint64(0))
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    steps[first] = keys[first] - (bucket[first] << shift)
+    small, raw = np.minimum(times, 255).astype(np.uint8), steps.view(np.uint8).reshape(-1, 8)
+    packer, out = zstandard.ZstdCompressor(level=1, write_content_size=True), []
+    for low, high in zip(first.tolist(), np.append(first[1:], len(keys)).tolist()):
+        large = times[low:high][small[low:high] == 255]
+        out.append(packer.compress(b"".join(((high - low).to_bytes(8, "little"), np.ascontiguousarray(raw[low:high].T).tobytes(), small[low:high].tobytes(), large.tobytes()))))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array(out, pa.binary())], schema=PACKETS)
+
+
+def _unpacked(bucket: int, packet: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.decompress(packet)
+    size = int.from_bytes(data[:8], "little")
+    steps = np.frombuffer(data, np.uint8, 8 * size, 8).reshape(8, size).T.copy().view(np.uint64).ravel()
+    small = np.frombuffer(data, np.uint8, size, 8 + 8 * size)
+    times = small.astype(np.int64)
+    times[small == 255] = np.frombuffer(data[8 + 9 * size :], np.int64)
+    return np.cumsum(steps) + (np.uint64(bucket) << np.uint64(64 - bits)), times
+
+
+def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Packets of (hashes, counts), summed over a task as long as they fit `HELD` hashes."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > HELD:
+            held = [_summed(held)]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield _packets(*held[0], bits)
+                held, size = [], 0
+    if size:
+        yield _packets(*_summed(held), bits)
+
+
+def _frequent(bits: int, least: int):
+    """Sums the packets of each bucket; packets come in order of buckets."""
+    @tx.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            keys, times = _summed(parts)
+            keep = times >= least
+            return pa.RecordBatch.from_arrays([pa.array(as_long(keys[keep])), pa.array(times[keep])], schema=COUNTS)
+
+        now, parts = None, []
+        for batch in batches:
+            for bucket, packet in zip(batch.column("bucket").to_pylist(), batch.column("packet").to_pylist()):
+                if bucket != now and parts:
+                    yield out()
+                    parts = []
+                now = bucket
+                parts.append(_unpacked(bucket, packet, bits))
+                if sum(len(p[0]) for p in parts) > 4 * KEYS_PER_BUCKET:
+                    parts = [_summed(parts)]
+        if parts:
+            yield out()
+    return run
+
+
+def group_counts(packets: DataFrame, bits: int, least: int) -> DataFrame:
+    """(key, times) of the hashes counted `least` times or more."""
+    dealt = packets.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_frequent(bits, least), "key bigint, times bigint")
+
+
+def _count_words(bits: int):
+    @tx.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = (_Block(batch) for batch in tx.slices(batches, "text", BLOCK_BYTES))
+        yield from _counted(((b.keys, b.times) for b in blocks), bits)
+    return run
+
+
+def _occurrences(counted: Members):
+    """R_1 of each block: the words that may be frequent, how often each (language, word) occurs, and all words by language."""
+    @tx.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.slices(batches, "text", BLOCK_BYTES):
+            b = _Block(batch)
+            chosen = np.flatnonzero(counted.has(b.keys))
+            new = np.full(len(b.keys), -1)
+            new[chosen] = np.arange(len(chosen))
+            place = new[b.place]
+            keep = place >= 0
+            yield _row(WORDS, b.pos[keep], place[keep], [
+                b.languages.take(pa.array(b.language[chosen])), b.words.take(pa.array(b.word[chosen])).cast(pa.string()),
+                as_long(b.keys[chosen]), b.times[chosen]], [b.languages, b.counts])
+    return run
 
 
 class Members:
@@ -112,35 +225,11 @@ def _joined(pos: np.ndarray, key: np.ndarray, frequent: Members):
     return pos[at], as_long(tx.mix(left.view(np.uint64) * tx.BASE + right.view(np.uint64))), left, right
 
 
-def _count(frequent: Members):
-    """Counts of the candidates, summed over a task as long as they fit `HELD` rows."""
-    def add(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([p[0] for p in parts])
-        order = np.argsort(keys)
-        keys, times = keys[order], np.concatenate([p[1] for p in parts])[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[first], np.add.reduceat(times, first)
-
-    def out(keys, times):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times, pa.int64())], schema=COUNTS)
-
+def _count(frequent: Members, bits: int):
     @tx.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for pos, key in _blocks(batches):
-            found = _joined(pos, key, frequent)[1]
-            if not len(found):
-                continue
-            parts.append(np.unique(found, return_counts=True))
-            held += len(parts[-1][0])
-            if held > HELD:
-                parts = [add(parts)]
-                held = len(parts[0][0])
-                if held > HELD // 2:
-                    yield out(*parts[0])
-                    parts, held = [], 0
-        if parts:
-            yield out(*add(parts))
+        found = (_joined(pos, key, frequent)[1].view(np.uint64) for pos, key in _blocks(batches))
+        yield from _counted((np.unique(x, return_counts=True) for x in found if len(x)), bits)
     return run
 
 
@@ -173,15 +262,15 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     and `tails` (how often its first and last 1, 2, ... k words occur). The list ends where no phrase is left. A null text is
     empty, a null language `und`.
     """
-    spark = docs.sparkSession
-    top = shared_folder(spark, "phrases")
+    top = shared_folder(docs.sparkSession, "phrases")
     rows = docs.select(text_or_empty(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    relation = written(rows.mapInArrow(_occurrences, WORD_ROWS), f"{top}/r1", WIDE_ROWS)
-    groups = relation.select(F.inline("groups"))
-    totals = groups.groupBy("lang").agg(F.sum("times").alias("n"))
-    # rare words never travel as strings: their hashes are counted first
-    hashes = written(groups.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= least), f"{top}/counts1")
-    words = maybe_in(groups, "key", hashes, "_maybe").where("_maybe").groupBy("lang", "word", "key").agg(F.sum("times").alias("a"))
+    # so many buckets that each has a bounded number of hashes, as no word takes less than two bytes of text
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(10, min(40, (size // 2 // KEYS_PER_BUCKET).bit_length()))
+    hashes = written(group_counts(rows.mapInArrow(_count_words(bits), PACKET), bits, least), f"{top}/counts1")
+    relation = written(rows.mapInArrow(_occurrences(Members(hashes)), WORD_ROWS), f"{top}/r1", WIDE_ROWS)
+    totals = relation.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n"))
+    words = relation.select(F.inline("groups")).groupBy("lang", "word", "key").agg(F.sum("times").alias("a"))
     none = F.lit(None).cast("bigint")
     level = words.where(F.col("a") >= least).select(
         "key", none.alias("left"), none.alias("right"), "lang", F.array("word").alias("words"), "a", F.array("a").alias("heads"),
@@ -190,8 +279,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     for k in range(1, longest):
         frequent = Members(levels[-1])
         occurrences = relation.select("pos", "place", F.col("groups.key").alias("keys"))
-        counts = occurrences.mapInArrow(_count(frequent), "key bigint, times bigint").groupBy("key").agg(
-            F.sum("times").alias("times")).where(F.col("times") >= least)
+        counts = group_counts(occurrences.mapInArrow(_count(frequent, bits), PACKET), bits, least)
         counted = Members(written(counts, f"{top}/counts{k + 1}"))
         relation = written(occurrences.mapInArrow(_extend(frequent, counted), PHRASE_ROWS), f"{top}/r{k + 1}", WIDE_ROWS)
         groups = relation.select(F.inline("groups")).groupBy("key", "left", "right").agg(F.sum("times").alias("a")).where(F.col("a") >= least)

@@ -89,7 +89,9 @@ def record(page: str | None, url: str | None, payload: bytes, digest: str, respo
 
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES, sample: int = SAMPLE_BYTES) -> zstd.ZstdCompressionDict:
     """A dictionary from evenly spread records; where they are too few to train one, their own bytes serve."""
-    stride = max(1, -(-sum(map(len, records)) // sample))
+    total = sum(map(len, records))
+    size = max(256, min(size, total // 32))  # in a small archive a large dictionary would not pay
+    stride = max(1, -(-total // sample))
     chosen = [r[: 128 << 10] for r in records[::stride]]
     try:
         return zstd.train_dictionary(size, chosen, k=256, d=8)

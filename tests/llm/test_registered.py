@@ -22,9 +22,9 @@ def con():
     return con
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry_point.queries() and set(QUERIES) <= set(entry_point.queries())
+    assert numbers == set(range(1, 14)) and "pipeline" in entry_point.queries() and set(QUERIES) <= set(entry_point.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
