@@ -100,8 +100,8 @@ def ar_ridge_fit(df: DataFrame, spec: ARSpec = ARSpec(), panel: Panel = PANEL) -
 
 def _predicted(df: DataFrame, coef: DataFrame, spec: ARSpec, ranges: DataFrame | None, panel: Panel,
                reach: int = 0) -> tuple[DataFrame, WindowSpec]:
-    """Rows with ``predicted`` and ``actual``, both NULL where a series has too short a past."""
-    fitted = attach(_scaled(index_panel(df, panel), spec, panel, ranges), coef, panel)
+    """Rows with ``predicted`` and ``actual``, both NULL where a series has too short a past or no model."""
+    fitted = attach(_scaled(index_panel(df, panel), spec, panel, ranges), coef, panel, "left")  # no model: NULL predictions
     start = spec.offset + spec.p
     rows, w = windowed(fitted, panel, before=start + spec.q + reach)
     rows = _differenced(rows, w, spec, panel)
@@ -124,7 +124,7 @@ def ar_ridge_predict(df: DataFrame, coef: DataFrame, spec: ARSpec = ARSpec(), ra
                      panel: Panel = PANEL) -> DataFrame:
     """One-step forecasts ``(keys, ts, pos, n, predicted, actual)``.
 
-    In log mode both are scaled log differences. The scaler is refitted on ``df``
+    A series without a model has NULL predictions. In log mode both are scaled log differences. The scaler is refitted on ``df``
     itself unless ``ranges``, the min-max statistics of the training rows, are given.
     """
     rows, _ = _predicted(df, coef, spec, ranges, panel)

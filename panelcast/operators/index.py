@@ -145,8 +145,8 @@ def rebase(df: DataFrame, dropped: int | Column) -> DataFrame:
     return df.withColumn("pos", F.col("pos") - dropped).withColumn("n", F.col("n") - dropped)
 
 
-def attach(df: DataFrame, stats: DataFrame, panel: Panel = PANEL) -> DataFrame:
-    """Joins one row of ``stats`` per series onto an indexed panel.
+def attach(df: DataFrame, stats: DataFrame, panel: Panel = PANEL, how: str = "inner") -> DataFrame:
+    """Joins one row of ``stats`` per series onto an indexed panel; ``how='left'`` keeps series without one.
 
     Small statistics are broadcast by adaptive execution. Where they are not, and
     series are unbounded, the key is salted with the block of positions so that one
@@ -154,11 +154,11 @@ def attach(df: DataFrame, stats: DataFrame, panel: Panel = PANEL) -> DataFrame:
     """
     keys = list(panel.keys)
     if panel.bounded:
-        return df.join(stats, keys)
+        return df.join(stats, keys, how)
     salted = index_panel(df, panel).withColumn(
         _SALT, F.floor((F.col("pos") - 1) / panel.block_rows) % SALTS)
     copies = stats.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [*keys, _SALT]).drop(_SALT)
+    return salted.join(copies, [*keys, _SALT], how).drop(_SALT)
 
 
 def global_position(df: DataFrame, order: list[str]) -> DataFrame:

@@ -194,9 +194,18 @@ def cell_prices(cells: Column) -> Column:
     return F.transform(cells, lambda c: c["price"])
 
 
-def pivot_prices(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ("ts",), series: str = "series_id",
+def column_names(df: DataFrame, series: str = "series_id", most: int = SHARD_SIZE) -> list[str]:
+    """The panel's names in order, for the columns of a wide table; an error beyond ``most``, as then shards are due."""
+    names = [r[0] for r in df.select(series).filter(F.col(series).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} names: write one table per shard")
+    return sorted(names)
+
+
+def pivot_prices(df: DataFrame, values: Sequence[str] | None = None, keys: Sequence[str] = ("ts",), series: str = "series_id",
                  value: str = "value", agg: str = "avg") -> DataFrame:
-    """One row per hour, one column per listed node, NULL where the hour lacks the node."""
+    """One row per hour, one column per node (listed, or found in the panel), NULL where the hour lacks the node."""
+    values = column_names(df, series) if values is None else values
     reducer = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[agg]
     return df.groupBy(*keys).pivot(series, sorted(values)).agg(reducer(value))
 
@@ -206,9 +215,10 @@ def wide_shard_lines(df: DataFrame, shards: DataFrame, series: str = "series_id"
     """``(shard, ts, line)``: the text rows of all wide shard tables in one job.
 
     A line lists the hour and the prices of the shard's nodes in name order, missing
-    ones as ``null_text``; it is never longer than the shard size.
+    ones as ``null_text``, one each: a repeated cell is averaged.
     """
-    cells = _full_cells(df, shards, series, time, value)
+    once = df.groupBy(series, time).agg(F.avg(value).alias(value))
+    cells = _full_cells(once, shards, series, time, value)
     texts = F.transform(F.sort_array("cells"), lambda c: F.coalesce(c["price"].cast("string"), F.lit(null_text)))
     hour = F.date_format(time, "yyyy-MM-dd,HH:mm")
     return cells.select("shard", time, F.concat_ws(",", hour, F.array_join(texts, ",")).alias("line"))

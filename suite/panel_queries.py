@@ -9,7 +9,7 @@ from panelcast.operators import reshape as R
 from panelcast.plans.datasets import neighborhood_matrix, query_prices, train_test_rows
 from panelcast.sources.writers import materialize_splits
 from suite.registry import query
-from suite.tables import (EDGES, EV, EVENT_TYPES, LAB, LABELS, LI, MONTHLY, ORD, edges, events_hourly, label_catalog,
+from suite.tables import (EDGES, EV, LAB, LABELS, LI, MONTHLY, ORD, edges, events_hourly, label_catalog,
                           label_monthly, priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily, supplier_names, table)
 
 _SHARDS = """SELECT node, (row_number() OVER (ORDER BY node) - 1) // {size} AS shard
@@ -31,23 +31,17 @@ def shard_filter(spark, sf_dir):
     return kept.select("series_id", stamp("ts").alias("ts"), r("value", 4).alias("value"))
 
 
-def _wide_sql(names):
-    cells = ", ".join(f"avg(CASE WHEN event_type = '{n}' THEN value END) AS {n}" for n in names)
-    listed = ", ".join(f"'{n}'" for n in names)
-    return (f"SELECT date_trunc('hour', ts) AS ts, {cells} FROM events WHERE event_type IN ({listed}) "
-            "GROUP BY date_trunc('hour', ts)")
-
-
 @query("shard_join", f"""
-  SELECT {sql_stamp('a.ts')} AS ts, {', '.join(f'{sql_r(n)} AS {n}' for n in EVENT_TYPES)}
-  FROM ({_wide_sql(EVENT_TYPES[:2])}) a JOIN ({_wide_sql(EVENT_TYPES[2:4])}) b ON a.ts = b.ts
-  JOIN ({_wide_sql(EVENT_TYPES[4:])}) c ON a.ts = c.ts""")
+  WITH p AS ({EV}), s AS ({_EV_SHARDS}),
+    full_ts AS (SELECT ts FROM p JOIN s ON series_id = node GROUP BY ts HAVING count(DISTINCT shard) = (SELECT count(DISTINCT shard) FROM s))
+  SELECT {sql_stamp()} AS ts, {sql_r('COLUMNS(* EXCLUDE (ts))')}
+  FROM (PIVOT (SELECT * FROM p WHERE ts IN (SELECT ts FROM full_ts)) ON series_id USING avg(value) GROUP BY ts)""")
 def shard_join(spark, sf_dir):
     panel = events_hourly(spark, sf_dir)
-    tables = [R.pivot_prices(R.select_nodes(panel, names, "series_id"), names)
-              for names in (EVENT_TYPES[:2], EVENT_TYPES[2:4], EVENT_TYPES[4:])]
+    names = R.column_names(panel)
+    tables = [R.pivot_prices(R.select_nodes(panel, names[k : k + 2], "series_id"), names[k : k + 2]) for k in range(0, len(names), 2)]
     joined = R.join_shards(tables, ["ts"])
-    return joined.select(stamp("ts").alias("ts"), *[r(n).alias(n) for n in EVENT_TYPES])
+    return joined.select(stamp("ts").alias("ts"), *[r(n).alias(n) for n in names])
 
 
 def _complete_hours_sql(panel, shards, digits):
@@ -126,10 +120,10 @@ def collect_hour(spark, sf_dir):
 
 
 @query("pivot_prices", f"""
-  SELECT {sql_stamp()} AS ts, {', '.join(f'{sql_r(n)} AS {n}' for n in EVENT_TYPES)} FROM ({_wide_sql(EVENT_TYPES)})""")
+  SELECT {sql_stamp()} AS ts, {sql_r('COLUMNS(* EXCLUDE (ts))')} FROM (PIVOT ({EV}) ON series_id USING avg(value) GROUP BY ts)""")
 def pivot_prices(spark, sf_dir):
-    wide = R.pivot_prices(events_hourly(spark, sf_dir), EVENT_TYPES)
-    return wide.select(stamp("ts").alias("ts"), *[r(n).alias(n) for n in EVENT_TYPES])
+    wide = R.pivot_prices(events_hourly(spark, sf_dir))
+    return wide.select(stamp("ts").alias("ts"), *[r(n).alias(n) for n in wide.columns[1:]])
 
 
 @query("ordered_output", f"SELECT series_id, {sql_stamp()} AS ts, {sql_r('value', 2)} AS value FROM ({ORD}) ORDER BY ts, series_id")

@@ -10,7 +10,7 @@ from panelcast.operators import series as S
 from panelcast.operators.index import index_panel
 from panelcast.plans.datasets import train_test_lists, train_test_panel
 from suite.registry import query
-from suite.tables import (DAILY, EV, HOURLY, LI, LI_NAMES, ORD, RAW, RAW_EV, events_hourly, events_raw, families, priority_daily, r,
+from suite.tables import (DAILY, EV, EVENTS, HOURLY, LI, LI_NAMES, ORD, RAW, RAW_EV, events_hourly, events_raw, families, priority_daily, r,
                           sql_family_rows, sql_ix, sql_r, sql_scaled, sql_stamp, stamp, supplier_daily, supplier_names)
 
 _W = "(PARTITION BY series_id ORDER BY ts)"
@@ -28,11 +28,11 @@ def panel_positions(spark, sf_dir):
 
 
 @query("event_positions", """
-  SELECT event_type AS series_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS pos,
+  SELECT event_type AS series_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos,
     count(*) OVER (PARTITION BY event_type) AS n FROM events""")
 def event_positions(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("series_id"), "event_id", "ts")
-    return index_panel(ev, RAW).select("series_id", "event_id", "pos", "n")
+    return index_panel(ev, EVENTS).select("series_id", "event_id", "pos", "n")
 
 
 def _split_sql(panel, digits):
@@ -45,9 +45,13 @@ def chrono_split(spark, sf_dir):
     return _out(S.chrono_split(supplier_daily(spark, sf_dir), 0.8, DAILY), r("value", 4).alias("value"), "split")
 
 
-@query("chrono_split_raw_events", _split_sql(RAW_EV, 6))
+@query("chrono_split_raw_events", f"""
+  SELECT series_id, event_id, {sql_stamp()} AS ts, {sql_r('value')} AS value, CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'test' END AS split
+  FROM (SELECT event_type AS series_id, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos,
+    count(*) OVER (PARTITION BY event_type) AS n FROM events)""")
 def chrono_split_raw(spark, sf_dir):
-    return _out(S.chrono_split(events_raw(spark, sf_dir), 0.8, RAW), r("value").alias("value"), "split")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("series_id"), "event_id", "ts", "value")
+    return _out(S.chrono_split(ev, 0.8, EVENTS), "event_id", r("value").alias("value"), "split")
 
 
 @query("three_way_split", f"""

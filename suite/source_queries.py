@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import reshape as R
 from panelcast.sources import readers, writers
 from suite.registry import query
-from suite.tables import (EV, EVENT_TYPES, LABELS, LI, LOAD, ORD, events_hourly, load_hours, part_labels,
+from suite.tables import (EV, LABELS, LI, LOAD, ORD, events_hourly, load_hours, part_labels,
                           priority_daily, r, scratch, sql_r, sql_stamp, stamp, supplier_daily, supplier_names, table)
 
 
@@ -96,18 +96,19 @@ def catalog_file(spark, sf_dir):
   FROM (SELECT DISTINCT ts FROM ({EV})) h CROSS JOIN (SELECT DISTINCT series_id FROM ({EV})) c
   LEFT JOIN ({EV}) p ON p.ts = h.ts AND p.series_id = c.series_id""")
 def unpivot_prices(spark, sf_dir):
-    wide = R.pivot_prices(events_hourly(spark, sf_dir), EVENT_TYPES)
+    wide = R.pivot_prices(events_hourly(spark, sf_dir))
     return readers.unpivot_prices(wide, ["ts"]).select(stamp("ts").alias("ts"), "node", r("price").alias("price"))
 
 
 @query("wide_csv_lines", """
-  SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') || ',' || """ + " || ',' || ".join(
-    f"coalesce(CAST(max(CASE WHEN event_type = '{n}' THEN value END) AS VARCHAR), 'null')" for n in EVENT_TYPES) + """ AS line
-  FROM events GROUP BY date_trunc('hour', ts)""")
+  WITH p AS (SELECT date_trunc('hour', ts) AS ts, event_type, max(value) AS value FROM events GROUP BY 1, 2)
+  SELECT strftime(h.ts, '%Y-%m-%d %H:%M:%S') || ',' || string_agg(coalesce(CAST(value AS VARCHAR), 'null'), ',' ORDER BY c.event_type) AS line
+  FROM (SELECT DISTINCT ts FROM p) h CROSS JOIN (SELECT DISTINCT event_type FROM p) c LEFT JOIN p ON p.ts = h.ts AND p.event_type = c.event_type
+  GROUP BY h.ts""")
 def wide_csv_lines(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("series_id"), F.date_format("ts", "yyyy-MM-dd HH:00:00").alias("ts"), "value")
-    wide = R.pivot_prices(ev, EVENT_TYPES, agg="max")
+    wide = R.pivot_prices(ev, agg="max")
     path = scratch(spark, "wide")
     writers.write_wide(wide, path)
     return spark.read.text(path).withColumnRenamed("value", "line")
@@ -205,7 +206,7 @@ def load_file_rollup(spark, sf_dir):
   FROM (SELECT DISTINCT ts FROM ({EV})) h CROSS JOIN (SELECT DISTINCT series_id FROM ({EV})) c
   LEFT JOIN ({EV}) p ON p.ts = h.ts AND p.series_id = c.series_id""")
 def fill_null(spark, sf_dir):
-    wide = R.pivot_prices(events_hourly(spark, sf_dir), EVENT_TYPES)
+    wide = R.pivot_prices(events_hourly(spark, sf_dir))
     filled = R.fill_null(readers.unpivot_prices(wide, ["ts"]), 0.0, "price")
     return filled.select(stamp("ts").alias("ts"), "node", r("price").alias("price"))
 

@@ -17,8 +17,7 @@ DAILY = Panel(step=86_400)
 MONTHLY = Panel(step=28 * 86_400)
 # irregular series: measured, and cut into blocks when one outgrows a task
 RAW = PANEL
-
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+EVENTS = Panel(ties=("event_id",))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
