@@ -126,7 +126,8 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, doc_id: str = "
     several templates of a license the one with the most shingles found is given. `notices` given are the only
     templates. Defined results: null and wordless texts hold nothing and give no row; a template of fewer than five
     words is one shingle; repeated rows (equal id and text) give one result; an empty table gives no rows; other
-    columns are not read. Licenses of one wording are all found.
+    columns are not read. Licenses of one wording are all found. A text of any length is cut into windows within its row, in
+    time that grows with its length.
     """
     spark: SparkSession = docs.sparkSession
     listed = [(k, tuple(template_words(v)), percent, True) for k, v in (NOTICES if notices is None else notices).items()]
@@ -167,9 +168,11 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, doc_id: str = "
         return f"size({words}) >= c.size AND forall(c.keys, k -> arrays_overlap({words}, k))"
 
     classed = rows.select("*", F.explode(F.expr(f"array({', '.join(groups)})")).alias("c")).where(may_hold("words"))
-    at = F.explode(F.expr("sequence(0, greatest(size(words) - c.size, 0), c.stride)"))
-    windows = classed.select("doc_id", "text_key", "words", "c", at.alias("at")).select(
-        "doc_id", "text_key", "c", "at", F.expr("slice(words, at + 1, c.length + c.stride - 1)").alias("w")).where(may_hold("w"))
+    # windows are cut before they become rows: no row but the text's own ever holds all its words
+    cut = F.explode(F.expr("transform(sequence(0, greatest(size(words) - c.size, 0), c.stride), "
+                           "at -> named_struct('at', at, 'w', slice(words, at + 1, c.length + c.stride - 1)))"))
+    windows = classed.select("doc_id", "text_key", "c", cut.alias("x")).select(
+        "doc_id", "text_key", "c", "x.at", "x.w").where(may_hold("w"))
     windows = windows.select("doc_id", "text_key", F.col("c.length").alias("length"), "at", F.expr(_shingles("w", "c.size")).alias("shingles"))
     signed = windows.select("*", F.posexplode(F.expr(_bands("shingles", bands))).alias("band", "value"))
     own = [(k, name, length, p, sorted(map(" ".join, s)))

@@ -385,3 +385,12 @@ def test_license_scan_finds_texts_headers_and_wordings(spark):
     for k, (_, license_id) in enumerate(cases):
         also = {"BSD-2-Clause"} if license_id == "BSD-3-Clause" else set()
         assert found.get(k, set()) == ({license_id} if license_id else set()) | (also & found.get(k, set())), (k, license_id, found.get(k))
+
+
+def test_license_in_a_very_long_text(spark):
+    mit = (license_scan.Path(license_scan.__file__).parent / "license_texts" / "MIT.txt").read_text() if hasattr(license_scan, "Path") else None
+    notice = next(iter(license_scan.NOTICES.values()))
+    filler = " some license word here the software is granted "
+    text = filler * 10_000 + notice + filler * 10_000 + (mit or "")
+    got = {r.license_id: r.first_word for r in license_scan.scan(frame(spark, [text, "short"])).collect()}
+    assert next(iter(license_scan.NOTICES)) in got and got[next(iter(license_scan.NOTICES))] > 60_000
