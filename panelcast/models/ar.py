@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import dot, safe_ln
-from panelcast.models.moments import gram, solve_ridge
+from panelcast.functions.linear import cholesky, triangular_solve
 from panelcast.operators.index import attach, core, index_panel, windowed
 from panelcast.operators.metrics import score_columns
 from panelcast.operators.scale import minmax_scale, scale_own_range
@@ -53,28 +53,24 @@ def _lag_names(spec: ARSpec) -> list[str]:
     return [f"_l{k}" for k in range(1, spec.p + 1)]
 
 
-def _closed_form(lagged: DataFrame, spec: ARSpec, keys: Sequence[str]) -> DataFrame:
-    """One or two lags: the normal equations solved in plain column arithmetic."""
+def centred_ridge(rows: DataFrame, keys: Sequence[str], target: str, lags: Sequence[str], alpha: float) -> DataFrame:
+    """``(keys, intercept, weights)`` of a ridge regression on any number of columns, from centred moments.
+
+    Moments are summed about the means in one grouped pass with map-side combine; the normal equations are solved by a
+    Cholesky factorisation in column arithmetic. Rows must be complete.
+    """
     n = F.count(F.lit(1))
-    names = _lag_names(spec)
-    aggs = [F.avg("_v").alias("mv")]
-    for i, a in enumerate(names):
-        aggs.append(F.avg(a).alias(f"m{a}"))
-        aggs.append((n * F.covar_pop(a, "_v")).alias(f"r{a}"))
-        aggs += [(n * F.covar_pop(a, b)).alias(f"s{a}{b}") for b in names[i:]]
-    m = lagged.groupBy(*keys).agg(*aggs)
-    c, alpha = F.col, float(spec.alpha)
-    if spec.p == 1:
-        weights = [c("r_l1") / (c("s_l1_l1") + alpha)]
-    else:
-        s11, s12, s22 = c("s_l1_l1") + alpha, c("s_l1_l2"), c("s_l2_l2") + alpha
-        det = s11 * s22 - s12 * s12
-        weights = [(s22 * c("r_l1") - s12 * c("r_l2")) / det, (s11 * c("r_l2") - s12 * c("r_l1")) / det]
-    solved = m.withColumns({f"w{a}": wk for a, wk in zip(names, weights)})
-    intercept = c("mv")
-    for a in names:
-        intercept = intercept - c(f"w{a}") * c(f"m{a}")
-    return solved.select(*keys, intercept.alias("intercept"), F.array(*[f"w{a}" for a in names]).alias("weights"))
+    pairs = {(i, j): (n * F.covar_pop(a, b)).alias(f"_s{i}_{j}") for i, a in enumerate(lags) for j, b in enumerate(lags) if i <= j}
+    moments = rows.groupBy(*keys).agg(
+        F.avg(target).alias("_mean"), *[F.avg(a).alias(f"_m{i}") for i, a in enumerate(lags)],
+        *[(n * F.covar_pop(a, target)).alias(f"_r{i}") for i, a in enumerate(lags)], *pairs.values())
+    size = range(len(lags))
+    matrix = F.array(*[F.array(*[F.col(f"_s{min(i, j)}_{max(i, j)}") + (float(alpha) if i == j else 0.0) for j in size]) for i in size])
+    # one step at a time, so that no expression is written out within another
+    factored = moments.withColumn("_matrix", matrix).withColumn("_rows", cholesky(F.col("_matrix")))
+    solved = factored.withColumn("_b", F.array(*[f"_r{i}" for i in size])).withColumn("weights", triangular_solve(F.col("_rows"), F.col("_b")))
+    means = F.array(*[f"_m{i}" for i in size])
+    return solved.select(*keys, (F.col("_mean") - dot(F.col("weights"), means)).alias("intercept"), "weights")
 
 
 def ar_ridge_fit(df: DataFrame, spec: ARSpec = ARSpec(), panel: Panel = PANEL) -> DataFrame:
@@ -83,19 +79,7 @@ def ar_ridge_fit(df: DataFrame, spec: ARSpec = ARSpec(), panel: Panel = PANEL) -
     rows, w = windowed(_scaled(index_panel(df, panel), spec, panel), panel, before=spec.offset + spec.p)
     lagged = core(_differenced(rows, w, spec, panel)).filter(F.col("pos") > spec.offset + spec.p)
     lagged = lagged.select(*keys, "_v", *_lag_names(spec)).dropna()
-    if spec.p <= 2:
-        return _closed_form(lagged, spec, keys)
-    # products of values far from zero lose digits: sum them about the series mean, then move the intercept back
-    means = lagged.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.avg("_v").alias("_mean"))
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    shifted = lagged.join(means, same).select(
-        *keys, F.array(*[F.col(a) - F.col("_mean") for a in _lag_names(spec)]).alias("x"),
-        F.array(F.col("_v") - F.col("_mean")).alias("y"))
-    solved = solve_ridge(gram(shifted, keys), keys, spec.alpha)
-    solved = solved.select(*keys, F.col("coefs")[0]["intercept"].alias("_b"), F.col("coefs")[0]["weights"].alias("weights"))
-    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
-    return solved.join(means, same).select(
-        *keys, (F.col("_b") + F.col("_mean") * (1 - total)).alias("intercept"), "weights")
+    return centred_ridge(lagged, keys, "_v", _lag_names(spec), spec.alpha)
 
 
 def _predicted(df: DataFrame, coef: DataFrame, spec: ARSpec, ranges: DataFrame | None, panel: Panel,
