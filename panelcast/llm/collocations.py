@@ -41,7 +41,7 @@ BUCKETS = 64
 RESULT = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
 PACKET = "bucket bigint, packet binary"
 PACKETS = pa.schema([("bucket", pa.int64()), ("packet", pa.binary())])
-KEYS_PER_BUCKET = 1 << 16
+KEYS_PER_BUCKET = 1 << 20
 WORDS = pa.schema([("pos", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("groups", pa.list_(pa.struct(
     [("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("times", pa.int64())]))),
     ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
