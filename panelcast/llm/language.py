@@ -5,8 +5,8 @@ Every letter has a random vector of signs. A trigram's vector binds (multiplies)
 the profiles of its training texts, each of unit length. A text gets the language whose prototype has the largest
 cosine with its profile.
 
-Prototypes are fitted on at most about `rows_per_language` training rows of each language, chosen by a hash; every row
-is then compared with them. Prototypes are the only thing sent to the driver: one vector per language.
+Prototypes are fitted on about `rows_per_language` different training texts of each language at most, chosen by a hash; every
+row is then compared with them. Prototypes are the only thing sent to the driver: one vector of 8 KB per language.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from panelcast.llm import text as tx
 
 SIZE = 1024
 ROWS_PER_LANGUAGE = 10_000
-MAX_LANGUAGES = 4096
 SLICE_ROWS = 256
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -103,18 +102,21 @@ def _bundle(batches):
                                             pa.list_(pa.int64()))], names=["lang", "profile"])
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE,
-        max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their prototypes. Rows without a language are not used.
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE
+        ) -> tuple[list[str], np.ndarray]:
+    """Languages, sorted, and their prototypes.
 
-    Of a language with more rows, a share is chosen by the hash of the text. With more than `max_languages` labels
-    the most frequent ones are learned.
+    Defined results: rows without a language are not used; copies of a text in one language count once; of a language
+    with more different texts a share is chosen by the hash of the text; every label is learned, unless its texts are null,
+    empty or without letters; an empty table gives no languages. Other columns are not read.
     """
     rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(17), "text"))
+    counts = rows.select("lang", "hash").distinct().groupBy("lang").count()
     share = counts.select("lang", (F.lit(float(rows_per_language)) / F.col("count")).alias("share"))
-    spread = F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.join(F.broadcast(share), "lang").where(spread < F.col("share"))
+    spread = F.pmod(F.col("hash"), F.lit(1 << 20)) / float(1 << 20)
+    few = rows.join(F.broadcast(share), "lang").where(spread < F.col("share"))
+    chosen = few.groupBy("lang", "hash").agg(F.any_value("text").alias("text"))
     bundled = chosen.select("text", "lang").mapInArrow(_bundle, "lang string, profile array<bigint>")
     sums = bundled.select("lang", F.posexplode("profile").alias("place", "value")).groupBy("lang", "place").agg(
         F.sum("value").alias("value"))
