@@ -14,7 +14,8 @@ further length is done in four steps:
 The semi-joins use bitmaps of a size between 8 KB and 16 MB, whatever the data; a phrase let through by chance costs
 space, never a wrong row, because the groups themselves are counted by their two parts and kept by their exact count.
 Words are compared as strings, phrases by the 64-bit hashes of their parts: counts are exact unless two frequent phrases
-share a hash. Counts travel in packets: the sorted hashes of a bucket as compressed differences.
+share a hash. The counts of step 3 are upper bounds, as they are taken by the first bits of a hash (at least 32, more for a
+larger corpus, so that few phrases share them). They travel in packets: the sorted bits of a bucket as compressed differences.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ RESULT = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint,
 PACKET = "bucket bigint, packet binary"
 PACKETS = pa.schema([("bucket", pa.int64()), ("packet", pa.binary())])
 KEYS_PER_BUCKET = 1 << 20
+SLOT_BITS = 32
 WORDS = pa.schema([("pos", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("groups", pa.list_(pa.struct(
     [("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("times", pa.int64())]))),
     ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
@@ -88,7 +90,7 @@ class _Block:
 
 
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Different hashes, in order, and their counts."""
+    """Different slots, in order, and their counts."""
     keys = np.concatenate([p[0] for p in parts])
     order = np.argsort(keys)
     keys, times = keys[order], np.concatenate([p[1] for p in parts])[order]
@@ -96,9 +98,14 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def _packets(keys: np.ndarray, times: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted hashes with counts, a packet for each bucket of equal first bits."""
-    shift = np.uint64(64 - bits)
+def slots(keys: np.ndarray, width: int) -> np.ndarray:
+    """The first `width` bits of hashes."""
+    return keys.view(np.uint64) >> np.uint64(64 - width)
+
+
+def _packets(keys: np.ndarray, times: np.ndarray, bits: int, width: int = 64) -> pa.RecordBatch:
+    """Sorted slots with counts, a packet for each bucket of equal first bits."""
+    shift, planes = np.uint64(width - bits), -(-(width - bits) // 8)
     bucket = keys >> shift
     steps = np.diff(keys, prepend=np.uint64(0))
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -107,37 +114,39 @@ def _packets(keys: np.ndarray, times: np.ndarray, bits: int) -> pa.RecordBatch:
     packer, out = zstandard.ZstdCompressor(level=1, write_content_size=True), []
     for low, high in zip(first.tolist(), np.append(first[1:], len(keys)).tolist()):
         large = times[low:high][small[low:high] == 255]
-        out.append(packer.compress(b"".join(((high - low).to_bytes(8, "little"), np.ascontiguousarray(raw[low:high].T).tobytes(), small[low:high].tobytes(), large.tobytes()))))
+        out.append(packer.compress(b"".join(((high - low).to_bytes(8, "little"), np.ascontiguousarray(raw[low:high, :planes].T).tobytes(), small[low:high].tobytes(), large.tobytes()))))
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array(out, pa.binary())], schema=PACKETS)
 
 
-def _unpacked(bucket: int, packet: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    data = zstandard.decompress(packet)
+def _unpacked(bucket: int, packet: bytes, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    data, planes = zstandard.decompress(packet), -(-(width - bits) // 8)
     size = int.from_bytes(data[:8], "little")
-    steps = np.frombuffer(data, np.uint8, 8 * size, 8).reshape(8, size).T.copy().view(np.uint64).ravel()
-    small = np.frombuffer(data, np.uint8, size, 8 + 8 * size)
+    raw = np.zeros((size, 8), np.uint8)
+    raw[:, :planes] = np.frombuffer(data, np.uint8, planes * size, 8).reshape(planes, size).T
+    small = np.frombuffer(data, np.uint8, size, 8 + planes * size)
     times = small.astype(np.int64)
-    times[small == 255] = np.frombuffer(data[8 + 9 * size :], np.int64)
-    return np.cumsum(steps) + (np.uint64(bucket) << np.uint64(64 - bits)), times
+    times[small == 255] = np.frombuffer(data[8 + (planes + 1) * size :], np.int64)
+    return np.cumsum(raw.view(np.uint64).ravel(), dtype=np.uint64) + (np.uint64(bucket) << np.uint64(width - bits)), times
 
 
-def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
-    """Packets of (hashes, counts), summed over a task as long as they fit `HELD` hashes."""
+def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray]], bits: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Packets of the slots of (hashes, counts), summed over a task as long as they fit `HELD` slots."""
     held, size = [], 0
-    for part in parts:
+    for keys, times in parts:
+        part = slots(keys, width), times
         held.append(part)
         size += len(part[0])
         if size > HELD:
             held = [_summed(held)]
             size = len(held[0][0])
             if size > HELD // 2:
-                yield _packets(*held[0], bits)
+                yield _packets(*held[0], bits, width)
                 held, size = [], 0
     if size:
-        yield _packets(*_summed(held), bits)
+        yield _packets(*_summed(held), bits, width)
 
 
-def _frequent(bits: int, least: int):
+def _frequent(bits: int, width: int, least: int):
     """Sums the packets of each bucket; packets come in order of buckets."""
     @tx.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +162,7 @@ def _frequent(bits: int, least: int):
                     yield out()
                     parts = []
                 now = bucket
-                parts.append(_unpacked(bucket, packet, bits))
+                parts.append(_unpacked(bucket, packet, bits, width))
                 if sum(len(p[0]) for p in parts) > 4 * KEYS_PER_BUCKET:
                     parts = [_summed(parts)]
         if parts:
@@ -161,27 +170,27 @@ def _frequent(bits: int, least: int):
     return run
 
 
-def group_counts(packets: DataFrame, bits: int, least: int) -> DataFrame:
-    """(key, times) of the hashes counted `least` times or more."""
+def group_counts(packets: DataFrame, bits: int, width: int, least: int) -> DataFrame:
+    """(key, times) of the slots counted `least` times or more."""
     dealt = packets.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_frequent(bits, least), "key bigint, times bigint")
+    return dealt.mapInArrow(_frequent(bits, width, least), "key bigint, times bigint")
 
 
-def _count_words(bits: int):
+def _count_words(bits: int, width: int):
     @tx.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = (_Block(batch) for batch in tx.slices(batches, "text", BLOCK_BYTES))
-        yield from _counted(((b.keys, b.times) for b in blocks), bits)
+        yield from _counted(((b.keys, b.times) for b in blocks), bits, width)
     return run
 
 
-def _occurrences(counted: Members):
+def _occurrences(counted: Members, width: int):
     """R_1 of each block: the words that may be frequent, how often each (language, word) occurs, and all words by language."""
     @tx.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.slices(batches, "text", BLOCK_BYTES):
             b = _Block(batch)
-            chosen = np.flatnonzero(counted.has(b.keys))
+            chosen = np.flatnonzero(counted.has(slots(b.keys, width)))
             new = np.full(len(b.keys), -1)
             new[chosen] = np.arange(len(chosen))
             place = new[b.place]
@@ -225,21 +234,21 @@ def _joined(pos: np.ndarray, key: np.ndarray, frequent: Members):
     return pos[at], as_long(tx.mix(left.view(np.uint64) * tx.BASE + right.view(np.uint64))), left, right
 
 
-def _count(frequent: Members, bits: int):
+def _count(frequent: Members, bits: int, width: int):
     @tx.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (_joined(pos, key, frequent)[1].view(np.uint64) for pos, key in _blocks(batches))
-        yield from _counted((np.unique(x, return_counts=True) for x in found if len(x)), bits)
+        yield from _counted((np.unique(x, return_counts=True) for x in found if len(x)), bits, width)
     return run
 
 
-def _extend(frequent: Members, counted: Members):
+def _extend(frequent: Members, counted: Members, width: int):
     """R_{k+1}: the candidates that may be frequent, and how often each occurs by its two parts."""
     @tx.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             pos, key, left, right = _joined(*block, frequent)
-            keep = counted.has(key)
+            keep = counted.has(slots(key, width))
             if not keep.any():
                 continue
             pos, key, left, right = pos[keep], key[keep], left[keep], right[keep]
@@ -267,8 +276,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     # so many buckets that each has a bounded number of hashes, as no word takes less than two bytes of text
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(10, min(40, (size // 2 // KEYS_PER_BUCKET).bit_length()))
-    hashes = written(group_counts(rows.mapInArrow(_count_words(bits), PACKET), bits, least), f"{top}/counts1")
-    relation = written(rows.mapInArrow(_occurrences(Members(hashes)), WORD_ROWS), f"{top}/r1", WIDE_ROWS)
+    width = max(SLOT_BITS, size.bit_length() - 3)
+    found = written(group_counts(rows.mapInArrow(_count_words(bits, width), PACKET), bits, width, least), f"{top}/counts1")
+    relation = written(rows.mapInArrow(_occurrences(Members(found), width), WORD_ROWS), f"{top}/r1", WIDE_ROWS)
     totals = relation.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = relation.select(F.inline("groups")).groupBy("lang", "word", "key").agg(F.sum("times").alias("a"))
     none = F.lit(None).cast("bigint")
@@ -279,9 +289,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     for k in range(1, longest):
         frequent = Members(levels[-1])
         occurrences = relation.select("pos", "place", F.col("groups.key").alias("keys"))
-        counts = group_counts(occurrences.mapInArrow(_count(frequent, bits), PACKET), bits, least)
+        counts = group_counts(occurrences.mapInArrow(_count(frequent, bits, width), PACKET), bits, width, least)
         counted = Members(written(counts, f"{top}/counts{k + 1}"))
-        relation = written(occurrences.mapInArrow(_extend(frequent, counted), PHRASE_ROWS), f"{top}/r{k + 1}", WIDE_ROWS)
+        relation = written(occurrences.mapInArrow(_extend(frequent, counted, width), PHRASE_ROWS), f"{top}/r{k + 1}", WIDE_ROWS)
         groups = relation.select(F.inline("groups")).groupBy("key", "left", "right").agg(F.sum("times").alias("a")).where(F.col("a") >= least)
         head = levels[-1].select(F.col("key").alias("left"), "lang", F.col("words").alias("front"), "heads")
         tail = levels[-1].select(F.col("key").alias("right"), F.element_at("words", -1).alias("last"), "tails")

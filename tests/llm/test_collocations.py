@@ -96,3 +96,20 @@ def test_packets_round_trip(bits):
     batch = co._packets(keys, times, bits)
     got = [co._unpacked(b, p, bits) for b, p in zip(batch.column("bucket").to_pylist(), batch.column("packet").to_pylist())]
     assert np.array_equal(np.concatenate([g[0] for g in got]), keys) and np.array_equal(np.concatenate([g[1] for g in got]), times)
+
+
+@pytest.mark.parametrize("bits,width", [(10, 32), (16, 40), (10, 34)])
+def test_packets_of_slots_round_trip(bits, width):
+    rng = np.random.default_rng(width)
+    keys = np.unique(co.slots(rng.integers(0, 1 << 64, 3000, dtype=np.uint64), width))
+    times = rng.choice([1, 254, 255, 10**15], len(keys))
+    batch = co._packets(keys, times, bits, width)
+    got = [co._unpacked(b, p, bits, width) for b, p in zip(batch.column("bucket").to_pylist(), batch.column("packet").to_pylist())]
+    assert np.array_equal(np.concatenate([g[0] for g in got]), keys) and np.array_equal(np.concatenate([g[1] for g in got]), times)
+
+
+def test_phrases_that_share_a_slot_keep_their_own_counts(spark, monkeypatch):
+    monkeypatch.setattr(co, "SLOT_BITS", 12)  # four thousand slots for more phrases than that
+    rows = made(9, 400)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert sorted(tuple(r) for r in co.collocations(docs, least=4).collect()) == brute(rows, least=4)
