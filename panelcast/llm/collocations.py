@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import text as tx
 from panelcast.llm import words as wd
-from panelcast.llm.tables import WIDE_ROWS, as_long, shared_folder, text_or_empty, written
+from panelcast.llm.tables import WIDE_ROWS, as_long, deleted, shared_folder, text_or_empty, written
 
 UNKNOWN = "und"
 BREAKS = wd.byte_set((0x0A, 0x0D), *((ord(c),) * 2 for c in ".,;:!?"))
@@ -279,13 +279,14 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     width = max(SLOT_BITS, size.bit_length() - 3)
     found = written(group_counts(rows.mapInArrow(_count_words(bits, width), PACKET), bits, width, least), f"{top}/counts1")
     relation = written(rows.mapInArrow(_occurrences(Members(found), width), WORD_ROWS), f"{top}/r1", WIDE_ROWS)
-    totals = relation.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n"))
+    deleted(docs.sparkSession, f"{top}/counts1")
+    totals = written(relation.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n")), f"{top}/totals")
     words = relation.select(F.inline("groups")).groupBy("lang", "word", "key").agg(F.sum("times").alias("a"))
     none = F.lit(None).cast("bigint")
     level = words.where(F.col("a") >= least).select(
         "key", none.alias("left"), none.alias("right"), "lang", F.array("word").alias("words"), "a", F.array("a").alias("heads"),
         F.array("a").alias("tails"))
-    levels = [written(level, f"{top}/l1")]
+    levels, k = [written(level, f"{top}/l1")], 0
     for k in range(1, longest):
         frequent = Members(levels[-1])
         occurrences = relation.select("pos", "place", F.col("groups.key").alias("keys"))
@@ -299,9 +300,12 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
             "key", "left", "right", "lang", F.concat("front", F.array("last")).alias("words"), "a",
             F.concat("heads", F.array("a")).alias("heads"), F.concat("tails", F.array("a")).alias("tails"))
         level = written(level, f"{top}/l{k + 1}")
+        for name in (f"counts{k + 1}", f"r{k}"):  # what follows reads the new relation and the levels only
+            deleted(docs.sparkSession, f"{top}/{name}")
         if level.isEmpty():
             break
         levels.append(level)
+    deleted(docs.sparkSession, f"{top}/r{k + 1}")
     return levels, totals
 
 

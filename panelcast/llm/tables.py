@@ -66,3 +66,9 @@ def written(df: DataFrame, path: str, options: dict[str, str] | None = None) ->
     """The rows as a Parquet table at `path`."""
     df.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a table of `shared_folder` that no later step reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

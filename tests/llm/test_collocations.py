@@ -79,6 +79,7 @@ def test_blocks_and_flushes_do_not_show(spark, monkeypatch):
 def test_nothing_to_find(spark):
     empty = spark.createDataFrame([], "text string, lang string")
     assert co.collocations(empty).collect() == [] and co.collocations(empty).columns == COLUMNS
+    assert co.collocations(empty, longest=1).collect() == []
     assert co.collocations(spark.createDataFrame([("a b c", "en")], "text string, lang string")).collect() == []
 
 
