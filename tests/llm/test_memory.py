@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+
 import corpus_pipeline
 import panelcast.llm.ngram_join as nj
+import panelcast.llm.suffix_dedup as dedup
 from panelcast.llm.tables import BATCH_BYTES, BATCH_LIMIT
 
 
@@ -51,3 +54,30 @@ def test_pipeline_stages_read_texts_in_small_batches(spark, tmp_path):
     finally:
         spark.conf.unset(BATCH_LIMIT)
     assert max(size for size, _ in sizes(tmp_path)) < 2 * BATCH_BYTES
+
+
+def test_signatures_travel_as_one_column(spark, monkeypatch):
+    """Code that copies a column for each word of a signature took the executors' compiler 440 MB."""
+    found = []
+    probes = nj._Join.probes
+    monkeypatch.setattr(nj._Join, "probes", lambda self, rows: found.append(probes(self, rows)) or found[-1])
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[a : a + 90]) for a in range(0, 100, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in nj.similar_groups(docs).collect()}
+    assert set(groups.values()) == {0}
+    assert found and all(len(signs.columns) <= 3 for _, signs in found)
+
+
+def test_chunks_are_taken_of_small_stretches(monkeypatch):
+    """A task holds some 100 bytes for each byte that it takes apart at a time."""
+    seen, chunks = [], dedup.chunks
+    monkeypatch.setattr(dedup, "chunks", lambda data, *a: seen.append(len(data)) or chunks(data, *a))
+    texts = [f"{k} " * 1500 for k in range(2000)] + ["".join(f"{k} " for k in range(700_000))]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "text_key": list(range(len(texts)))})
+    covered = [0] * len(texts)
+    for part in dedup._candidates(400, 96)(iter([batch])):
+        for key, low, high in zip(*(part.column(c).to_pylist() for c in ("text_key", "low", "high"))):
+            covered[key] += high - low
+    assert covered == [len(t) - 399 for t in texts]
+    assert max(seen) < (1 << 20) + 400
