@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import text as tx
 from panelcast.llm import words as wd
-from panelcast.llm.tables import WIDE_ROWS, as_long, deleted, shared_folder, text_or_empty, written
+from panelcast.llm.tables import WIDE_ROWS, as_long, deleted, shared_folder, shuffles_removed, text_or_empty, written
 
 UNKNOWN = "und"
 BREAKS = wd.byte_set((0x0A, 0x0D), *((ord(c),) * 2 for c in ".,;:!?"))
@@ -44,22 +44,32 @@ PACKET = "bucket bigint, packet binary"
 PACKETS = pa.schema([("bucket", pa.int64()), ("packet", pa.binary())])
 KEYS_PER_BUCKET = 1 << 20
 SLOT_BITS = 32
-WORDS = pa.schema([("pos", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("groups", pa.list_(pa.struct(
+WORDS = pa.schema([("step", pa.binary()), ("place", pa.binary()), ("groups", pa.list_(pa.struct(
     [("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("times", pa.int64())]))),
     ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
-WORD_ROWS = ("pos array<int>, place array<int>, groups array<struct<lang: string, word: string, key: bigint, times: bigint>>, "
+WORD_ROWS = ("step binary, place binary, groups array<struct<lang: string, word: string, key: bigint, times: bigint>>, "
              "totals array<struct<lang: string, n: bigint>>")
-PHRASES = pa.schema([("pos", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("groups", pa.list_(pa.struct(
+PHRASES = pa.schema([("step", pa.binary()), ("place", pa.binary()), ("groups", pa.list_(pa.struct(
     [("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("times", pa.int64())])))])
-PHRASE_ROWS = "pos array<int>, place array<int>, groups array<struct<key: bigint, left: bigint, right: bigint, times: bigint>>"
+PHRASE_ROWS = "step binary, place binary, groups array<struct<key: bigint, left: bigint, right: bigint, times: bigint>>"
 COUNTS = pa.schema([("key", pa.int64()), ("times", pa.int64())])
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers below 2**31, compressed: all lowest bytes first, as the others are zero for most."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _row(schema: pa.Schema, pos: np.ndarray, place: np.ndarray, *lists: list) -> pa.RecordBatch:
-    """One block of a relation as a row: positions, each with its phrase's place among the block's groups, and lists of structs."""
+    """One block of a relation as a row: steps between positions, the place of each one's phrase among the block's groups, and
+    lists of structs. Groups found often come first, so that their places take one byte."""
     def whole(values):
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    columns = [whole(pa.array(pos, pa.int32())), whole(pa.array(place, pa.int32()))]
+    columns = [pa.array([_packed(x)], pa.binary()) for x in (np.diff(pos, prepend=0), place)]
     for field, parts in zip(list(schema)[2:], lists):
         fields = list(field.type.value_type)
         columns.append(whole(pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, fields)], fields=fields)))
@@ -191,6 +201,7 @@ def _occurrences(counted: Members, width: int):
         for batch in tx.slices(batches, "text", BLOCK_BYTES):
             b = _Block(batch)
             chosen = np.flatnonzero(counted.has(slots(b.keys, width)))
+            chosen = chosen[np.argsort(-b.times[chosen], kind="stable")]
             new = np.full(len(b.keys), -1)
             new[chosen] = np.arange(len(chosen))
             place = new[b.place]
@@ -221,8 +232,9 @@ class Members:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            pos, place, keys = (batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "place", "keys"))
-            yield pos, keys[place]
+            step, place = (_numbers(batch.column(c)[k].as_py()) for c in ("step", "place"))
+            keys = batch.column("keys").slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+            yield np.cumsum(step), keys[place]
 
 
 def _joined(pos: np.ndarray, key: np.ndarray, frequent: Members):
@@ -256,9 +268,12 @@ def _extend(frequent: Members, counted: Members, width: int):
             first = np.flatnonzero(np.append(True, (np.diff(key[parts]) != 0) | (np.diff(left[parts]) != 0)
                                              | (np.diff(right[parts]) != 0)))
             times = np.diff(np.append(first, len(parts)))
+            often = np.argsort(-times, kind="stable")
+            rank = np.empty(len(first), np.int64)
+            rank[often] = np.arange(len(first))
             place = np.empty(len(parts), np.int64)
-            place[parts] = np.repeat(np.arange(len(first)), times)
-            yield _row(PHRASES, pos, place, [x[parts[first]] for x in (key, left, right)] + [times])
+            place[parts] = np.repeat(rank, times)
+            yield _row(PHRASES, pos, place, [x[parts[first[often]]] for x in (key, left, right)] + [times[often]])
     return run
 
 
@@ -289,10 +304,12 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     levels, k = [written(level, f"{top}/l1")], 0
     for k in range(1, longest):
         frequent = Members(levels[-1])
-        occurrences = relation.select("pos", "place", F.col("groups.key").alias("keys"))
+        occurrences = relation.select("step", "place", F.col("groups.key").alias("keys"))
         counts = group_counts(occurrences.mapInArrow(_count(frequent, bits, width), PACKET), bits, width, least)
         counted = Members(written(counts, f"{top}/counts{k + 1}"))
         relation = written(occurrences.mapInArrow(_extend(frequent, counted, width), PHRASE_ROWS), f"{top}/r{k + 1}", WIDE_ROWS)
+        for name in (f"counts{k + 1}", f"r{k}"):  # what follows reads the new relation and the levels only
+            deleted(docs.sparkSession, f"{top}/{name}")
         groups = relation.select(F.inline("groups")).groupBy("key", "left", "right").agg(F.sum("times").alias("a")).where(F.col("a") >= least)
         head = levels[-1].select(F.col("key").alias("left"), "lang", F.col("words").alias("front"), "heads")
         tail = levels[-1].select(F.col("key").alias("right"), F.element_at("words", -1).alias("last"), "tails")
@@ -300,8 +317,6 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
             "key", "left", "right", "lang", F.concat("front", F.array("last")).alias("words"), "a",
             F.concat("heads", F.array("a")).alias("heads"), F.concat("tails", F.array("a")).alias("tails"))
         level = written(level, f"{top}/l{k + 1}")
-        for name in (f"counts{k + 1}", f"r{k}"):  # what follows reads the new relation and the levels only
-            deleted(docs.sparkSession, f"{top}/{name}")
         if level.isEmpty():
             break
         levels.append(level)
@@ -321,7 +336,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     Null and empty texts have no words; texts of any length are read whole, in blocks of their own if longer than
     `BLOCK_BYTES`; repeated rows count as often as they occur; other columns are not looked at. An empty table gives no rows.
     """
-    levels, totals = phrase_counts(docs, text, lang, longest, least)
+    with shuffles_removed(docs.sparkSession):
+        levels, totals = phrase_counts(docs, text, lang, longest, least)
     parts = []
     for k, level in enumerate(levels[1:], 2):
         if k < len(levels):

@@ -1,10 +1,14 @@
-"""What jobs leave on disk: shuffle files go with the job that made them."""
+"""What jobs leave on disk: shuffle files go with the job that made them, relations are small and go when replaced."""
 
 from __future__ import annotations
 
 import time
+from pathlib import Path
+
+import numpy as np
 
 import corpus_pipeline
+import panelcast.llm.collocations as co
 from panelcast.llm.tables import BATCH_LIMIT, SHUFFLE_CLEANUP
 
 
@@ -34,3 +38,29 @@ def test_pipeline_stages_keep_no_shuffle_files(spark):
     finally:
         spark.conf.unset(BATCH_LIMIT)
         spark.conf.unset(SHUFFLE_CLEANUP)
+
+
+def test_relations_are_small_and_go_when_replaced(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spark.conf.unset(SHUFFLE_CLEANUP)
+    steps, size, written, deleted = [], {}, co.written, co.deleted
+
+    def noted(df, path, *options):
+        out, name = written(df, path, *options), path.rsplit("/", 1)[1]
+        steps.append(name)
+        size[name] = sum(p.stat().st_size for p in Path(path.removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(co, "written", noted)
+    monkeypatch.setattr(co, "deleted", lambda session, path: steps.append("no " + path.rsplit("/", 1)[1]) or deleted(session, path))
+    before = shuffle_files(spark)
+    found = co.collocations(docs)
+    assert not left(spark, before) and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    words = {r.lang: r.n for r in found.select("lang", "n").distinct().collect()}
+    assert size["r1"] < 3 * sum(words.values())
+    assert steps.index("no r1") < steps.index("l2")
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [1, 2**31 - 1, 255, 256], range(70_000)):
+        assert co._numbers(co._packed(np.array(list(values), np.int64))).tolist() == list(values)
